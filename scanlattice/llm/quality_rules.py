@@ -80,15 +80,14 @@ def _repeated(words: Column) -> Column:
     return F.when(n > 0, _let(windows, count)).otherwise(F.lit(0).cast("long"))
 
 
-def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the counts of every whole text.  One narrow pass."""
-    rows = docs.select(named(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
+def _counted(rows: DataFrame, *kept: Column) -> DataFrame:
+    """``kept`` and the counts of every whole text ``t``.  One narrow pass."""
     rows = rows.withColumns(
         {"w": F.array_remove(F.split("t", _SPACE), ""), "l": F.filter(F.split("t", "\n"), lambda line: line.rlike(_NO_SPACE))}
     )
     without = lambda pattern: (F.length("t") - F.length(F.regexp_replace("t", pattern, ""))).cast("long")
     return rows.select(
-        "doc_id",
+        *kept,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "w")).cast("long").alias("word_chars"),
         without("[#*$%&|<>]+").alias("n_symbols"),
@@ -103,6 +102,11 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
+def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the counts of every whole text."""
+    return _counted(docs.select(named(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")), F.col("doc_id"))
+
+
 def votes() -> Column:
     """The rules' votes as one number in base 3: digit 0 abstains, 1 good, 2 bad."""
     out = F.lit(0)
@@ -192,3 +196,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, the counts, base_failed, posterior, kept: one row per row of ``docs``."""
     counted = materialize(counts(docs, id_col, text_col), "quality")
     return judge(counted, fit_counts(counted))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns and no others.
+
+    The texts are read twice, for the fit and for the verdicts, and never shuffled.
+    """
+    rows = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), text_of(text_col).alias("t"))
+    model = fit_counts(_counted(rows))
+    return judge(_counted(rows, F.col("row")), model).where("kept").select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, line_dedup, packing, quality_rules, simhash, url_filter
+from . import bpe, classifier, exact_dedup, license_scan, line_dedup, packing, quality_rules, simhash, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,13 +53,34 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.classify(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", "n_dropped_lines")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_exact_dedup, op3_simhash, op4_quality_rules, op5_license_scan, op6_packing, op7_bpe, op10_line_dedup)
+    own = (
+        op1_url_filter,
+        op2_exact_dedup,
+        op3_simhash,
+        op4_quality_rules,
+        op5_license_scan,
+        op6_packing,
+        op7_bpe,
+        op8_quality_classifier,
+        op9_toxicity,
+        op10_line_dedup,
+    )
     return {f.__name__: f for f in own}
 
 

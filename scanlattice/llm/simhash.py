@@ -67,14 +67,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a signed long."""
+    """doc_id, text_hash, fp: the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))})
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(1), "fp": pa.array(fps.view(np.int64))})
 
-    return docs.select(named(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 @functools.lru_cache(maxsize=1)
@@ -248,7 +249,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, codes: int | None = None,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, codes: int | None = None, block: int = BLOCK) -> DataFrame:
-    """doc_id, fp, component_id: one row per row of ``docs``."""
+    """doc_id, text_hash, fp, component_id: one row per row of ``docs``."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     stars = links(nodes.select("fp"), threshold, codes, block).distinct()
@@ -256,4 +257,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = stars.join(named_("a"), "a").join(named_("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     root = components(edges).withColumnRenamed("a", "node")
     labelled = nodes.join(root, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(labelled, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of ``docs`` with one document per component: the one with the smallest id.
+
+    Rows that repeat an id and a text count as one document; rows with a null id stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, **parameters)
+    repeated = found.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    # Only ids that go or repeat are needed; all others pass the join without a partner.
+    marked = materialize(repeated.where("doc_id <> component_id or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("doc_id") == F.col("component_id")).alias("_stays")), "near-marked")
+    met = docs.join(marked, (named(id_col).cast("long") == F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_hash")), "left")
+    columns = [named(c) for c in docs.columns]
+    one = met.where("_id is null").select(*columns)
+    first = met.where("_stays").dropDuplicates(["_id", "_hash"]).select(*columns)
+    return one.unionByName(first) if marked.where("_stays").limit(1).count() else one
