@@ -21,31 +21,42 @@ from __future__ import annotations
 
 import bisect
 import functools
-import re
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import materialize, named, rows_of, text_of
 
 MAX_LEN = 1024
 END = 2
-#: Words that a worker remembers; it forgets all of them at once beyond.
-REMEMBERED = 400_000
-_SAFE = re.compile(r" (?=[^\W_])")
-_UNSAFE = re.compile(r" (?![^\W_])")
 
 
-class WordTokenizer:
-    """Ids by the tokenizers library, word by word, with repeated words looked up.
+#: How the byte-level pre-tokenizer splits; fixed by the file format.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    Cutting before a space that a letter or digit follows changes no id, since byte-level
-    pre-tokens begin there anyway.  Texts with added tokens in them go to the library whole.
+
+def _byte_of() -> dict[str, int]:
+    """The byte behind each character that byte-level files write tokens with: printable
+    Latin-1 stands for itself, the other bytes, in order, for U+0100 and on."""
+    own = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
+class FileTokenizer:
+    """The ids of a tokenizers file.
+
+    A plain byte-level file whose merges stand in the order of their ids is run as a rank
+    table, which gives the same ids several times faster.  Any other file, and any text that
+    holds an added token, goes through the tokenizers library.
     """
 
     def __init__(self, file: str):
@@ -53,39 +64,30 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(file)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = []
-        for t in texts:
-            if any(a in t for a in self.added):
-                cut.append(None)
-            elif _UNSAFE.search(t):
-                cut.append(_SAFE.split(t))
-            else:
-                cut.append(t.split(" "))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        # A first word has no space before it; it is remembered under a key of its own.
-        new = {w for ws in cut if ws for w in ws[1:]}.difference(known)
-        if new:
-            new = list(new)
-            for w, e in zip(new, self.library.encode_batch([" " + w for w in new], add_special_tokens=False)):
-                known[w] = e.ids
-        firsts = iter(self.library.encode_batch([ws[0] if ws else t for ws, t in zip(cut, texts)], add_special_tokens=False))
-        out = []
-        for ws in cut:
-            ids = list(next(firsts).ids)
-            for w in ws[1:] if ws else ():
-                ids += known[w]
-            out.append(ids)
-        return out
+        with open(file, encoding="utf-8") as f:
+            self.ranks = self._ranks(json.load(f))
+
+    def _ranks(self, spec: dict) -> tiktoken.Encoding | None:
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = (model["type"], spec.get("normalizer"), pre.get("type")) == ("BPE", None, "ByteLevel") and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        if not plain or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+            return None
+        byte, special = _byte_of(), set(self.added)
+        vocab = {k: v for k, v in model["vocab"].items() if k not in special}
+        joined = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if joined != sorted(set(joined)) or len(joined) + 256 != len(vocab):
+            return None
+        return tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks={bytes(byte[c] for c in k): v for k, v in vocab.items()}, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        if self.ranks is None or any(a in text for a in self.added):
+            return list(self.library.encode(text, add_special_tokens=False).ids)
+        return bpe.encode(text, self.ranks)
 
 
 @functools.lru_cache(maxsize=2)
-def tokenizer(file: str) -> WordTokenizer:
-    return WordTokenizer(file)
+def tokenizer(file: str) -> FileTokenizer:
+    return FileTokenizer(file)
 
 
 def cuts(n: int, max_len: int = MAX_LEN) -> list[tuple[int, int]]:
@@ -101,7 +103,7 @@ def token_pieces(docs: DataFrame, file: str, max_len: int = MAX_LEN, end: int =
         tok = tokenizer(file)
         for batch in rows_of(batches, 500):
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "input_ids")}
-            for doc, ids in zip(batch.column(0).to_pylist(), tok.encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), map(tok.encode, batch.column(1).to_pylist())):
                 ids.append(end)
                 flat = np.array(ids, "<u4")
                 for k, (at, n) in enumerate(cuts(len(ids), max_len)):
@@ -237,4 +239,5 @@ def best_fit(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
 
 def pack(docs: DataFrame, file: str, max_len: int = MAX_LEN, end: int = END, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Token pieces of ``docs`` with their sequence and place in it."""
-    return best_fit(token_pieces(docs, file, max_len, end, id_col, text_col, with_ids), max_len)
+    pieces = token_pieces(docs, file, max_len, end, id_col, text_col, with_ids)
+    return best_fit(materialize(pieces, "pieces"), max_len)  # the range sort reads its input twice
