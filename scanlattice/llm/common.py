@@ -65,7 +65,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.RecordBatch]:
+def rows_of(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` rows, so that Python copies stay small."""
     for batch in batches:
         for at in range(0, batch.num_rows, most):
