@@ -4,9 +4,9 @@
 become one variable mark) and the line descends the tree by its number of words and its
 first ``DEPTH`` words; below stands its template, the whole masked line.
 
-*Generalise*: within a leaf, templates in order of their signature (a 16-bit hash per word)
-join the one before them if at least ``SIMILAR`` of the words agree; the differing words are
-variable fields of the joined template.
+*Generalise*: within a leaf, templates in order of their signature (a 16-bit hash of each
+eighth of the words) join the one before them if at least ``SIMILAR`` of the eighths agree;
+the differing ones are variable fields of the joined template.
 
 *Drop*: a template that stands in ``MIN_DOCUMENTS`` documents or more is boilerplate.  Its
 lines stay in the document with the smallest doc_id and are dropped from all others.
@@ -30,57 +30,71 @@ from .common import named, text_of
 
 DEPTH = 3
 SIMILAR = 0.7
+#: Parts that a line's signature is made of, four to a long.
+PARTS = 8
 #: Documents in which a template must stand to count as recurring.
 MIN_DOCUMENTS = 10
 _SPACE = r"[\x20\x09-\x0D]+"
-#: Variable fields: anything with a digit, mail and web addresses.
-VARIABLE = r"[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*"
+#: Variable fields: words with a digit, mail and web addresses; from the start of a word and
+#: without backtracking.
+VARIABLE = r"(?<![^\x20\x09-\x0D])(?:(?!://)[^\x20\x09-\x0D0-9@])*+(?:[0-9@]|://)[^\x20\x09-\x0D]*+"
+#: Lines without any of these characters hold no variable field and no white space but spaces.
+_MARKS = r"[0-9@:\x09\x0B-\x0D]"
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(line, VARIABLE, "<*>"), _SPACE), "")
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _parsed(line: Column) -> Column:
-    """(template, leaf, signature) of a line; null without a word."""
-
-    def of(words: Column) -> Column:
-        n = F.size(words)
-        return F.when(
-            n > 0,
-            F.struct(
-                F.xxhash64(F.concat_ws(" ", words)).alias("template"),
-                F.xxhash64(n, F.concat_ws(" ", F.slice(words, 1, DEPTH))).alias("leaf"),
-                F.transform(words, lambda w: (F.hash(w) % 32768).cast("smallint")).alias("signature"),
-            ),
-        )
-
-    return F.get(F.transform(F.array(_words(line)), of), F.lit(0))
+def _masked(line: Column) -> Column:
+    """The line's words, variable fields masked, with single spaces between; empty without words."""
+    marked = F.when(line.rlike(_MARKS), F.regexp_replace(F.regexp_replace(line, VARIABLE, "<*>"), _SPACE, " ")).otherwise(line)
+    return _let(marked, lambda m: F.when(F.contains(m, F.lit("  ")) | F.startswith(m, F.lit(" ")) | F.endswith(m, F.lit(" ")), F.trim(F.regexp_replace(m, " +", " "))).otherwise(m))
 
 
 def _templates_of(text: Column) -> Column:
     """The template of every line of a text, null for lines without a word."""
 
     def of(line: Column) -> Column:
-        words = F.concat_ws(" ", _words(line))
-        return F.when(words != "", F.xxhash64(words))
+        return _let(_masked(line), lambda m: F.when(m != "", F.xxhash64(m)))
 
     return F.transform(F.split(text, "\n"), of)
 
 
+def _signature(words: Column, k: int) -> Column:
+    """The ``k``-th long of a line's signature: 16 bits of the hash of four of its parts."""
+    n = F.size(words)
+    cut = lambda i: F.floor(n * i / PARTS).cast("int")
+    out = F.lit(0).cast("long")
+    for i in range(4):
+        at = 4 * k + i
+        part = F.concat_ws(" ", F.slice(words, cut(at) + 1, cut(at + 1) - cut(at)))
+        out = out.bitwiseOR(F.shiftleft(F.xxhash64(part).bitwiseAND(F.lit(0xFFFF).cast("long")), 16 * i))
+    return out
+
+
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
     """template, keep_doc, n_documents of every template that recurs."""
     lines = docs.select(
-        named(id_col).cast("long").alias("doc_id"),
-        F.explode(F.array_distinct(F.transform(F.array_distinct(F.split(text_of(text_col), "\n")), _parsed))).alias("p"),
-    ).where("p is not null")
-    templates = lines.groupBy(F.col("p.leaf").alias("leaf"), F.col("p.template").alias("template")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.any_value("p.signature").alias("signature")
+        named(id_col).cast("long").alias("doc_id"), F.explode(F.array_distinct(F.transform(F.split(text_of(text_col), "\n"), _masked))).alias("line")
+    ).where("line <> ''")
+    lines = lines.withColumn("words", F.split("line", " "))
+    parsed = lines.select(
+        "doc_id",
+        F.xxhash64("line").alias("template"),
+        F.xxhash64(F.size("words"), F.concat_ws(" ", F.slice("words", 1, DEPTH))).alias("leaf"),
+        F.least(F.lit(PARTS), F.size("words")).alias("parts"),
+        *(_signature(F.col("words"), k).alias(f"s{k}") for k in range(PARTS // 4)),
+    )
+    columns = ["parts", *(f"s{k}" for k in range(PARTS // 4))]
+    templates = parsed.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), *(F.min(c).alias(c) for c in columns))
+    order = Window.partitionBy("leaf").orderBy(*columns, "template")
+    steps = templates.withColumns({f"before{k}": F.lag(f"s{k}").over(order) for k in range(PARTS // 4)})
+    differ = sum(
+        ((F.shiftrightunsigned(F.col(f"s{k}").bitwiseXOR(F.col(f"before{k}")), 16 * i).bitwiseAND(F.lit(0xFFFF))) != 0).cast("int") for k in range(PARTS // 4) for i in range(4)
     )
-    order = Window.partitionBy("leaf").orderBy("signature", "template")
-    before = F.lag("signature").over(order)
-    agree = F.size(F.filter(F.zip_with("signature", "before", lambda a, b: a == b), lambda same: same))
-    steps = templates.withColumn("before", before).withColumn("new", F.when(F.col("before").isNotNull() & (agree >= F.lit(similar) * F.size("signature")), 0).otherwise(1))
+    steps = steps.withColumn("new", F.when(F.col("before0").isNotNull() & (F.col("parts") - differ >= F.lit(similar) * F.col("parts")), 0).otherwise(1))
     grouped = steps.withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     whole = Window.partitionBy("leaf", "group")
     found = grouped.select("template", F.min("first_doc").over(whole).alias("keep_doc"), F.sum("n").over(whole).alias("n_documents"))
@@ -106,7 +120,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = docs.join(lost, named(id_col).cast("long").eqNullSafe(F.col("_lost_id")) & (F.xxhash64(text_of(text_col)) == F.col("_lost_hash")), "left")
     lines = F.split(text_of(text_col), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    text = F.get(F.transform(F.array(lines), lambda ls: F.concat_ws("\n", F.transform(left, lambda i: F.get(ls, i)))), F.lit(0))
+    text = _let(lines, lambda ls: F.concat_ws("\n", F.transform(left, lambda i: F.get(ls, i))))
     return met.withColumns(
         {text_col: F.when(F.col("_drop").isNull(), named(text_col)).otherwise(text), "n_dropped_lines": F.coalesce(F.size("_drop"), F.lit(0)).cast("int")}
     ).select(*(named(c) for c in columns), F.when(F.col("n_dropped_lines") > 0, F.col("n_dropped_lines")).otherwise(0).alias("n_dropped_lines"))
