@@ -46,8 +46,9 @@ DRIFT = 0.05
 #: A segment counts if it is expected at most this often by chance.
 SIGNIFICANT = 0.1
 BEGINNINGS = (4, 5, 6)
-#: Different preceding words that a token needs, and their least share of its occurrences.
-CONTEXTS, CONTEXT_SHARE = 4, 0.35
+#: Different preceding words that a token needs: this share of its occurrences, but at least
+#: and at most so many.
+CONTEXT_SHARE, CONTEXTS, ENOUGH_CONTEXTS = 0.35, 4, 30
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -214,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
     found = counted.where("docs >= 4").select("token", "toxic", "other", odds.alias("odds"), F.sqrt(1 / yt + 1 / yo).alias("se"))
     kept = found.where(F.col("odds") >= Z * F.col("se")).where("odds >= 2").collect()
     contexts = _contexts(rows, {r.token for r in kept})
-    kept = [r for r in kept if contexts.get(r.token, 0) >= max(CONTEXTS, CONTEXT_SHARE * r.toxic)]
+    kept = [r for r in kept if contexts.get(r.token, 0) >= max(CONTEXTS, min(ENOUGH_CONTEXTS, CONTEXT_SHARE * r.toxic))]
     model.lexicon = {r.token: float(r.odds) for r in kept}
     words = [r for r in kept if r.token[0] == "="]
     model.lam = _lambda([((r.other + 0.5) / (other + 1), float(r.odds)) for r in words])
