@@ -1,7 +1,7 @@
 """Sector streams: frames put together as their four sectors arrive, in any order.
 
 State is kept per (scan_num, frame_num).  A frame leaves when its fourth sector arrives, or
-incomplete when ``timeout_ms`` passes without news.
+incomplete when ``timeout_ms`` passes without news; without a timeout it waits.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ OUT = "scan_num long, frame_num long, scan_pos int, frame_h int, frame_w int, co
 STATE = "scan_pos int, sectors array<int>, data array<binary>"
 
 
-def assemble_stream(sectors: DataFrame, version: int = 5, shape: tuple[int, int] | None = None, timeout_ms: int = 60_000) -> DataFrame:
+def assemble_stream(sectors: DataFrame, version: int = 5, shape: tuple[int, int] | None = None, timeout_ms: int | None = 60_000) -> DataFrame:
     """``frames`` from a stream of (scan_num, frame_num, scan_pos, sector, data)."""
     h, w = shape or SECTOR_SHAPE[version]
     frame = (h, w * SECTORS) if version == 4 else (h * SECTORS, w)
@@ -52,9 +52,10 @@ def assemble_stream(sectors: DataFrame, version: int = 5, shape: tuple[int, int]
             yield stitched(key, pos, parts)
         else:
             state.update((pos, list(parts), list(parts.values())))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
 
-    return sectors.groupBy("scan_num", "frame_num").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return sectors.groupBy("scan_num", "frame_num").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def running_pattern(events: DataFrame) -> DataFrame:

@@ -342,9 +342,8 @@ def test_sector_stream(spark, tmp_path):
     for n, part in enumerate((rows[::2], rows[1::2])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = sectors.assemble_stream(stream, 5, (2, 12)).writeStream.format("memory").queryName("assembled").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
+    query = sectors.assemble_stream(stream, 5, (2, 12), timeout_ms=None).writeStream.format("memory").queryName("assembled").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
     got = {r.frame_num: bytes(r.data) for r in spark.table("assembled").collect()}
     assert got == {i: a[i].tobytes() for i in range(2)}
 
