@@ -49,3 +49,13 @@ def frame_annulus(px: Column, width: int, center: tuple[float, float], inner: Co
 def wrap_u16(value: Column) -> Column:
     """What an unsigned 16-bit cell holds after storing ``value``."""
     return F.pmod(value.cast("long"), F.lit(65536))
+
+
+def lossless_cast(df, column: str, to: str):
+    """``df`` with ``column`` cast; ValueError if any value would change.  One pass to check."""
+    own = F.col(column)
+    before = dict(df.dtypes)[column]
+    back = F.expr(f"try_cast(try_cast(`{column}` AS {to}) AS {before})")
+    if df.where(own.isNotNull() & ~back.eqNullSafe(own)).limit(1).count():
+        raise ValueError(f"{column} can't be cast to {to} without loss")
+    return df.withColumn(column, own.cast(to))

@@ -136,3 +136,18 @@ def shift_events(ds: SparseDataset, shifts: DataFrame) -> SparseDataset:
     moved = ds.events.join(shifts.select("scan_pos", "dx", "dy"), "scan_pos").withColumns({"r": row_of(F.col("px"), w) + F.col("dy"), "c": col_of(F.col("px"), w) + F.col("dx")})
     kept = moved.where((F.col("r") >= 0) & (F.col("r") < h) & (F.col("c") >= 0) & (F.col("c") < w))
     return ds.with_(events=kept.select("scan_pos", "frame_idx", (F.col("r") * w + F.col("c")).cast("int").alias("px")))
+
+
+def aperture_geometry(spark, centers_x, centers_y, radii) -> DataFrame:
+    """aperture, x, y, radius, and the corners of the box around each: what a plot draws."""
+    as_list = lambda x: list(x) if isinstance(x, Sequence) else [x]
+    rows = [(i, float(x), float(y), float(r), x - float(r), y - float(r), x + float(r), y + float(r)) for i, (x, y, r) in enumerate(zip(as_list(centers_x), as_list(centers_y), as_list(radii), strict=True))]
+    return spark.createDataFrame(rows, "aperture int, x double, y double, radius double, left double, top double, right double, bottom double")
+
+
+def resample_nearest(image: DataFrame, points: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """point, value: the image at the scan position nearest to (row, col), clamped to the scan."""
+    h, w = shape
+    clamp = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(F.col(c) + 0.5)))
+    at = points.select("point", (clamp("row", h) * w + clamp("col", w)).cast("int").alias("scan_pos"))
+    return at.join(image, "scan_pos", "left").select("point", "value")

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import pixels as pixel_functions
 from .functions.pixels import col_of, row_of
 from .model import DenseDataset, SparseDataset, spine
 from .operators import binning, com, counting, detectors, indexing, reductions
@@ -556,3 +557,22 @@ def pipeline_above(s, d):
 @_add("SELECT px // 64 AS frame_row, px % 64 AS frame_col, count(*) AS n FROM counted WHERE frame_idx = 1 GROUP BY ALL", _c())
 def decoded_pixels(s, d):
     return counted(s, d).events.where("frame_idx = 1").groupBy(row_of(F.col("px"), 64).alias("frame_row"), col_of(F.col("px"), 64).alias("frame_col")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add(
+    "SELECT CAST(p.range AS INTEGER) AS point, v.value FROM range(200) p JOIN (SELECT scan_pos, count(c.px) AS value FROM scans LEFT JOIN counted c USING (scan_pos) GROUP BY scan_pos) v ON v.scan_pos = least(31, greatest(0, CAST(floor(p.range * 0.17::DOUBLE - 1 + 0.5) AS BIGINT))) * 32 + least(31, greatest(0, CAST(floor(33 - p.range * 0.21::DOUBLE + 0.5) AS BIGINT)))",
+    _c(_SCANS),
+)
+def resample_nearest(s, d):
+    points = s.range(200).select(F.col("id").cast("int").alias("point"), (F.col("id") * F.lit(0.17) - 1).alias("row"), (33 - F.col("id") * F.lit(0.21)).alias("col"))
+    return detectors.resample_nearest(counted(s, d).sum("frame"), points, SCAN)
+
+
+@_add("SELECT * FROM (VALUES (CAST(0 AS INTEGER), 20.0::DOUBLE, 30.0::DOUBLE, 6.0::DOUBLE, 14.0::DOUBLE, 24.0::DOUBLE, 26.0::DOUBLE, 36.0::DOUBLE), (1, 40.0, 34.0, 10.0, 30.0, 24.0, 50.0, 44.0)) t(aperture, x, y, radius, \"left\", top, \"right\", bottom)")
+def aperture_geometry(s, d):
+    return detectors.aperture_geometry(s, [20, 40], [30, 34], [6, 10])
+
+
+@_add("SELECT scan_pos, px, CAST(value AS INTEGER) AS value FROM pixels", _PIXELS)
+def lossless_cast(s, d):
+    return pixel_functions.lossless_cast(dense(s, d).pixels, "value", "int")

@@ -404,3 +404,13 @@ def test_shift_and_masks(spark, sparse):
     y, x = np.mgrid[:8, :10]
     inside = ((x - 3) ** 2 + (y - 2) ** 2 < 4).astype(int) + ((x - 4) ** 2 + (y - 3) ** 2 < 9)
     assert (grid(detectors.virtual_darkfield(ds, [3, 4], [2, 3], [2, 3]), (4, 6), "scan_pos") == (full * inside).sum(axis=(2, 3))).all()
+
+
+def test_lossless_cast(spark):
+    from scanlattice.functions.pixels import lossless_cast
+
+    df = spark.createDataFrame([(1.0,), (2.0,), (None,)], "v double")
+    assert [r.v for r in lossless_cast(df, "v", "int").collect()] == [1, 2, None]
+    for bad, to in ((1.5, "int"), (300.0, "tinyint")):
+        with pytest.raises(ValueError):
+            lossless_cast(spark.createDataFrame([(bad,)], "v double"), "v", to)
