@@ -265,7 +265,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows that repeat an id and a text count as one document; rows with a null id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **parameters)
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, **parameters), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``keep_one`` by the components ``found``: doc_id, text_hash, component_id."""
     repeated = found.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     # Only ids that go or repeat are needed; all others pass the join without a partner.
     marked = materialize(repeated.where("doc_id <> component_id or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("doc_id") == F.col("component_id")).alias("_stays")), "near-marked")

@@ -150,6 +150,41 @@ def test_simhash_keeps_one(spark, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_pipeline_stage_finds_every_near_copy(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    made = []
+    for n in (60, 90, 150, 400):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(300)}" for _ in range(n)]
+        for edits in range(0, n // 25 + 3):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(n)] = f"edit{rng.randrange(10**6)}"
+            made.append(" ".join(own))
+    made += ["", None, "two words", "Two Words", "other"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := WORD.findall((t or "").translate(UP))) else set() for t in made]
+    root = list(range(len(made)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    close = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                close += bin(plain_fingerprint(made[i]) ^ plain_fingerprint(made[j])).count("1") > 3
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert close
+    d = spark.createDataFrame([*enumerate(made), (None, made[0])], "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.one_of_near_copies(spark, d, "")
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == [-1, *sorted({find(i) for i in range(len(made))})]
+    assert corpus_pipeline.one_of_near_copies(spark, d.where("false"), "").count() == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]
