@@ -8,7 +8,8 @@ first ``DEPTH`` words; below stands its template, the whole masked line.
 eighth of the words) join the one before them if at least ``SIMILAR`` of the eighths agree;
 the differing ones are variable fields of the joined template.
 
-*Drop*: a template that stands in ``MIN_DOCUMENTS`` documents or more is boilerplate.  Its
+*Drop*: a template that stands in ``MIN_DOCUMENTS`` documents or more, or in two if it has over
+``LONG`` words, is boilerplate.  Its
 lines stay in the document with the smallest doc_id and are dropped from all others.
 
 Skew: copies of a line are combined map-side before templates are dealt to leaves; each
@@ -34,6 +35,8 @@ SIMILAR = 0.7
 PARTS = 8
 #: Documents in which a template must stand to count as recurring.
 MIN_DOCUMENTS = 10
+#: Words over which a line recurs from two documents on.
+LONG = 50
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Variable fields: words with a digit, mail and web addresses; from the start of a word and
 #: without backtracking.
@@ -84,10 +87,11 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         "doc_id",
         F.xxhash64("line").alias("template"),
         F.xxhash64(F.size("words"), F.concat_ws(" ", F.slice("words", 1, DEPTH))).alias("leaf"),
+        F.size("words").alias("n_words"),
         F.least(F.lit(PARTS), F.size("words")).alias("parts"),
         *(_signature(F.col("words"), k).alias(f"s{k}") for k in range(PARTS // 4)),
     )
-    columns = ["parts", *(f"s{k}" for k in range(PARTS // 4))]
+    columns = ["parts", "n_words", *(f"s{k}" for k in range(PARTS // 4))]
     templates = parsed.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), *(F.min(c).alias(c) for c in columns))
     order = Window.partitionBy("leaf").orderBy(*columns, "template")
     steps = templates.withColumns({f"before{k}": F.lag(f"s{k}").over(order) for k in range(PARTS // 4)})
@@ -97,8 +101,8 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     steps = steps.withColumn("new", F.when(F.col("before0").isNotNull() & (F.col("parts") - differ >= F.lit(similar) * F.col("parts")), 0).otherwise(1))
     grouped = steps.withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     whole = Window.partitionBy("leaf", "group")
-    found = grouped.select("template", F.min("first_doc").over(whole).alias("keep_doc"), F.sum("n").over(whole).alias("n_documents"))
-    return found.where((F.col("n_documents") >= min_documents) & F.col("keep_doc").isNotNull())
+    found = grouped.select("template", F.min("first_doc").over(whole).alias("keep_doc"), F.sum("n").over(whole).alias("n_documents"), F.when(F.col("n_words") > LONG, min(2, min_documents)).otherwise(min_documents).alias("least"))
+    return found.where((F.col("n_documents") >= F.col("least")) & F.col("keep_doc").isNotNull()).drop("least")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:

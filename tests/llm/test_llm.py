@@ -415,6 +415,14 @@ def test_line_templates_generalise(spark):
     assert all(got[100 + i].n_dropped_lines == 0 for i in range(11))
 
 
+def test_long_lines_recur_from_two_documents(spark):
+    long, short = prose(random.Random(41), 60), prose(random.Random(42), 40)
+    rows = [(i, f"{long}\n{short}\nown line of {w}") for i, w in enumerate(["ann", "bob"])]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert (got[0].n_dropped_lines, got[1].n_dropped_lines) == (0, 1)
+    assert got[1].text == f"{short}\nown line of bob"
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
