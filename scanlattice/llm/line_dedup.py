@@ -4,18 +4,21 @@
 become one variable mark) and the line descends the tree by its number of words and its
 first ``DEPTH`` words; below stands its template, the whole masked line.
 
-*Generalise*: within a leaf, templates in order of their signature (a 16-bit hash of each
-eighth of the words) join the one before them if at least ``SIMILAR`` of the eighths agree;
-the differing ones are variable fields of the joined template.
+*Generalise*: two templates of a leaf of which at least ``SIMILAR`` of the words agree in place
+are variants of one; the words that differ are its variable fields.  The words are cut into one
+block more than may differ, so two variants agree in a whole block: equal blocks propose pairs,
+which are compared word by word and joined to components.  Lines without a constant word are
+their own template, words as they are, and are never generalised.
 
-*Drop*: a template that stands in ``MIN_DOCUMENTS`` documents or more, or in two if it has over
-``LONG`` words, is boilerplate.  Its
-lines stay in the document with the smallest doc_id and are dropped from all others.
+*Drop*: a template that stands in ``MIN_DOCUMENTS`` documents or more is boilerplate, and so is
+one of over ``LONG`` words that stands in two.  Documents of a generalised template are counted
+once, whatever number of variants they hold.  Its lines stay in the document with the smallest
+doc_id and are dropped from all others.
 
 Skew: copies of a line are combined map-side before templates are dealt to leaves; each
 document counts once per template by a distinct within its own row, so no second shuffle
 counts documents.  Lines meet the recurring templates in an equi-join, whose hot keys can be
-split; what a document loses is gathered per document and so bounded by its own lines.
+split.  Only templates that share their leaf are read with their words and compared; what a document loses is gathered per document and so bounded by its own lines.
 
 Defined results: null texts count as empty; lines without a word are kept and never
 counted.  If all documents of a template have null ids, it is dropped from none.  Documents
@@ -27,15 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import named, text_of
+from .common import materialize, named, text_of
+from .components import grouped_components
 
 DEPTH = 3
 SIMILAR = 0.7
-#: Parts that a line's signature is made of, four to a long.
-PARTS = 8
-#: Documents in which a template must stand to count as recurring.
+#: Documents in which a template must stand to count as recurring, and words over which two do.
 MIN_DOCUMENTS = 10
-#: Words over which a line recurs from two documents on.
 LONG = 50
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Variable fields: words with a digit, mail and web addresses; from the start of a word and
@@ -50,10 +51,18 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _spaced(line: Column) -> Column:
+    """``line`` without white space at its ends and with single spaces between words."""
+    return F.when(F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")), F.trim(F.regexp_replace(line, " +", " "))).otherwise(line)
+
+
 def _masked(line: Column) -> Column:
-    """The line's words, variable fields masked, with single spaces between; empty without words."""
-    marked = F.when(line.rlike(_MARKS), F.regexp_replace(F.regexp_replace(line, VARIABLE, "<*>"), _SPACE, " ")).otherwise(line)
-    return _let(marked, lambda m: F.when(F.contains(m, F.lit("  ")) | F.startswith(m, F.lit(" ")) | F.endswith(m, F.lit(" ")), F.trim(F.regexp_replace(m, " +", " "))).otherwise(m))
+    """The line's words, variable fields masked, with single spaces between; empty without words.
+
+    If all words are variable they stay as they are, after a line feed, which no other line holds.
+    """
+    masked = _let(F.regexp_replace(F.regexp_replace(line, VARIABLE, "<*>"), _SPACE, " "), lambda m: F.when(m.rlike(r"^ *<\*>[<*> ]*$"), F.concat(F.lit("\n"), F.trim(F.regexp_replace(line, _SPACE, " ")))).otherwise(m))
+    return _let(F.when(line.rlike(_MARKS), masked).otherwise(line), _spaced)
 
 
 def _templates_of(text: Column) -> Column:
@@ -65,43 +74,52 @@ def _templates_of(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), of)
 
 
-def _signature(words: Column, k: int) -> Column:
-    """The ``k``-th long of a line's signature: 16 bits of the hash of four of its parts."""
+def _blocks(words: Column, leaf: Column, similar: float) -> Column:
+    """Keys of which two lines of a leaf share one if at least ``similar`` of their words agree in place."""
     n = F.size(words)
-    cut = lambda i: F.floor(n * i / PARTS).cast("int")
-    out = F.lit(0).cast("long")
-    for i in range(4):
-        at = 4 * k + i
-        part = F.concat_ws(" ", F.slice(words, cut(at) + 1, cut(at + 1) - cut(at)))
-        out = out.bitwiseOR(F.shiftleft(F.xxhash64(part).bitwiseAND(F.lit(0xFFFF).cast("long")), 16 * i))
-    return out
+    rest, differ = n - DEPTH, n - F.ceil(F.lit(similar) * n).cast("int")
+    cut = lambda i: F.floor(rest * i / (differ + 1)).cast("int") + DEPTH
+    block = lambda i: F.xxhash64(leaf, i, F.concat_ws(" ", F.slice(words, cut(i) + 1, cut(i + 1) - cut(i))))
+    return F.when(differ >= rest, F.array(leaf)).otherwise(F.transform(F.sequence(F.lit(0), differ), block))
+
+
+def _variants(shared: DataFrame, similar: float) -> DataFrame:
+    """(a, root) of the templates of ``shared`` (template, leaf, line) that are variants of one."""
+    words = lambda c: F.split(c, " ")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        side = lambda c: shared.select(F.col("template").alias(c), F.col("line").alias(f"line_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        agree = F.size(F.filter(F.zip_with(words("line_a"), words("line_b"), lambda x, y: x == y), lambda same: same))
+        return both.where(agree >= F.lit(similar) * F.greatest(F.size(words("line_a")), F.size(words("line_b")))).select("a", "b")
+
+    keys = shared.withColumn("words", words("line")).select(F.explode(_blocks(F.col("words"), F.col("leaf"), similar)).alias("key"), F.col("template").alias("node"))
+    apart = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    return grouped_components(materialize(keys.join(apart, "key"), "line-blocks"), verify)
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
     """template, keep_doc, n_documents of every template that recurs."""
-    lines = docs.select(
-        named(id_col).cast("long").alias("doc_id"), F.explode(F.array_distinct(F.transform(F.split(text_of(text_col), "\n"), _masked))).alias("line")
-    ).where("line <> ''")
-    lines = lines.withColumn("words", F.split("line", " "))
-    parsed = lines.select(
-        "doc_id",
-        F.xxhash64("line").alias("template"),
-        F.xxhash64(F.size("words"), F.concat_ws(" ", F.slice("words", 1, DEPTH))).alias("leaf"),
-        F.size("words").alias("n_words"),
-        F.least(F.lit(PARTS), F.size("words")).alias("parts"),
-        *(_signature(F.col("words"), k).alias(f"s{k}") for k in range(PARTS // 4)),
-    )
-    columns = ["parts", "n_words", *(f"s{k}" for k in range(PARTS // 4))]
-    templates = parsed.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), *(F.min(c).alias(c) for c in columns))
-    order = Window.partitionBy("leaf").orderBy(*columns, "template")
-    steps = templates.withColumns({f"before{k}": F.lag(f"s{k}").over(order) for k in range(PARTS // 4)})
-    differ = sum(
-        ((F.shiftrightunsigned(F.col(f"s{k}").bitwiseXOR(F.col(f"before{k}")), 16 * i).bitwiseAND(F.lit(0xFFFF))) != 0).cast("int") for k in range(PARTS // 4) for i in range(4)
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_of(text_col).alias("text"))
+    lines = rows.select("doc_id", "row", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _masked))).alias("line")).where("line <> ''")
+    lines = lines.withColumn("template", F.xxhash64("line"))
+    n_words = F.length("line") - F.length(F.translate("line", " ", "")) + 1
+    leaf = F.when(~F.startswith("line", F.lit("\n")), F.xxhash64(n_words, F.substring_index("line", " ", DEPTH)))
+    parsed = lines.select("doc_id", "template", leaf.alias("leaf"), n_words.alias("n_words"))
+    templates = materialize(parsed.groupBy("leaf", "n_words", "template").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")), "line-templates")
+    crowded = templates.where("leaf is not null").groupBy("leaf").agg(F.min("template").alias("lo"), F.max("template").alias("hi")).where("lo <> hi").select("leaf")
+    shared = templates.join(crowded, "leaf").select("template", "leaf")
+    stand = materialize(lines.join(shared, "template").select("doc_id", "row", "template", "leaf", "line"), "line-variants")
+    root = _variants(materialize(stand.select("template", "leaf", "line").distinct(), "line-shared"), similar)
+    groups = root.select(F.col("a").alias("template"), "root").union(root.select("root", "root")).distinct()
+    counted = stand.select("template", "doc_id", "row").join(groups, "template").select("root", "doc_id", "row").distinct()
+    counted = counted.groupBy("root").agg(F.count(F.lit(1)).alias("group_n"), F.min("doc_id").alias("group_doc"))
+    found = templates.join(groups.join(counted, "root"), "template", "left").select(
+        "template",
+        F.when(F.col("root").isNull(), F.col("first_doc")).otherwise(F.col("group_doc")).alias("keep_doc"),
+        F.coalesce("group_n", "n").alias("n_documents"),
+        F.when(F.col("n_words") > LONG, min(2, min_documents)).otherwise(min_documents).alias("least"),
     )
-    steps = steps.withColumn("new", F.when(F.col("before0").isNotNull() & (F.col("parts") - differ >= F.lit(similar) * F.col("parts")), 0).otherwise(1))
-    grouped = steps.withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    whole = Window.partitionBy("leaf", "group")
-    found = grouped.select("template", F.min("first_doc").over(whole).alias("keep_doc"), F.sum("n").over(whole).alias("n_documents"), F.when(F.col("n_words") > LONG, min(2, min_documents)).otherwise(min_documents).alias("least"))
     return found.where((F.col("n_documents") >= F.col("least")) & F.col("keep_doc").isNotNull()).drop("least")
 
 

@@ -423,6 +423,24 @@ def test_long_lines_recur_from_two_documents(spark):
     assert got[1].text == f"{short}\nown line of bob"
 
 
+def letters(rng, n=6):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def test_line_templates_are_compared_by_word(spark):
+    # Three of thirty words vary, each in an eighth of its own.
+    rng = random.Random(43)
+    base = [letters(rng) for _ in range(30)]
+    rows = []
+    for i in range(12):
+        own = list(base)
+        for at in (9, 17, 25):
+            own[at] = letters(rng)
+        rows.append((i, " ".join(own)))
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i].n_dropped_lines for i in range(12)] == [0] + [1] * 11
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
