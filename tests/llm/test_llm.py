@@ -441,6 +441,17 @@ def test_line_templates_are_compared_by_word(spark):
     assert [got[i].n_dropped_lines for i in range(12)] == [0] + [1] * 11
 
 
+def test_line_variants_meet_among_other_templates(spark):
+    # Variants differ in the fourth eighth, and many unrelated templates share their leaf.
+    rng = random.Random(44)
+    base = [letters(rng) for _ in range(16)]
+    rows = [(i, " ".join(base[:6] + [letters(rng), letters(rng)] + base[8:])) for i in range(12)]
+    rows += [(100 + i, " ".join(base[:3] + [letters(rng) for _ in range(13)])) for i in range(200)]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i].n_dropped_lines for i in range(12)] == [0] + [1] * 11
+    assert all(got[100 + i].n_dropped_lines == 0 for i in range(200))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
