@@ -1,8 +1,8 @@
 """License scan by a positional rare-token index, in DataFrame functions only.
 
 A first pass counts, over all documents, in how many each license word occurs.  The two words
-of a template with the highest inverse document frequency are its index entries, each with
-its place in the template.  In a document, every place of the first entry proposes a start;
+of a template's key phrase with the highest inverse document frequency are its index entries,
+each with its place in the template; as the key phrase must stand in full, no place is lost.  In a document, every place of the first entry proposes a start;
 the second entry must stand at its own distance from that start, the share of the template's
 words found in place must reach the template's least, and the mandatory key phrase must
 stand in full.  Only documents that hold an index entry at all build a list of words.
@@ -90,11 +90,11 @@ def document_frequency(docs: DataFrame, words: list[str], text_col: str = "text"
 
 
 def index(templates, n: dict[str, int], documents: int) -> list[tuple[Template, tuple[int, int]]]:
-    """Each template with the places of its two words of highest IDF (one, if it has but one)."""
+    """Each template with the places of its key phrase's two words of highest IDF (one, if it has but one)."""
     idf = lambda w: math.log((1 + documents) / (1 + n.get(w, 0)))
     out = []
     for t in templates:
-        places = sorted((i for i, w in enumerate(t.words) if w not in STOP and not w.isdigit()), key=lambda i: (-idf(t.words[i]), i))
+        places = sorted((i for i in range(t.key_at, t.key_at + len(_words(t.key))) if t.words[i] not in STOP and not t.words[i].isdigit()), key=lambda i: (-idf(t.words[i]), i))
         out.append((t, (places[0], places[1] if len(places) > 1 else places[0])))
     return out
 

@@ -249,6 +249,14 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_without_a_word_that_no_document_holds(spark):
+    ts = ["Permission is hereby granted, free of charge, to any person receiving a copy", "free of charge to any person obtaining a copy"]
+    got = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(ts[:1])), "doc_id long, text string")))
+    assert got[0].labels == "mit" and abs(got[0].score - 12 / 13) < 1e-9
+    got = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")))
+    assert (got[0].labels, got[1].labels) == ("mit", "")
+
+
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
