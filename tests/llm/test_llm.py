@@ -460,6 +460,15 @@ def test_line_variants_meet_among_other_templates(spark):
     assert all(got[100 + i].n_dropped_lines == 0 for i in range(200))
 
 
+def test_line_groups_count_documents(spark):
+    line = "Contact the night shift supervisor named {} about broken beam shutters today"
+    names = "ann bob cyd dee eva fay gus hal ida jon".split()
+    rows = [(i, "\n".join(line.format(n) for n in names[5 * i : 5 * i + 5])) for i in range(2)]
+    rows += [(10 + i, f"{i} {i + 1} {i * 7}") for i in range(12)]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(r.n_dropped_lines == 0 for r in got.values())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
