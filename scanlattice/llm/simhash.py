@@ -18,7 +18,8 @@ blocks is a task of its own.  A task keeps the compared fingerprints of one such
 blocks and returns a star per local component, never all pairs.
 
 Defined results: null texts count as empty and have fingerprint zero, which links like any
-other.  Rows with a null doc_id have a fingerprint; null ids never name a component.
+other.  Rows with a null doc_id have a fingerprint and link like others; null ids never name a
+component.
 """
 
 from __future__ import annotations
@@ -253,10 +254,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     stars = links(nodes.select("fp"), threshold, codes, block).distinct()
-    named_ = lambda side: nodes.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node"))
-    edges = stars.join(named_("a"), "a").join(named_("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    root = components(edges).withColumnRenamed("a", "node")
-    labelled = nodes.join(root, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    root = components(stars).withColumnRenamed("a", "fp")
+    labelled = nodes.join(root, "fp", "left").select("fp", "node", F.coalesce("root", "fp").alias("root"))
+    named_ = labelled.groupBy("root").agg(F.min("node").alias("component_id"))
+    labelled = labelled.join(named_, "root").select("fp", "component_id")
     return rows.join(labelled, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 

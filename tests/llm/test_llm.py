@@ -185,6 +185,25 @@ def test_pipeline_stage_finds_every_near_copy(spark):
     assert corpus_pipeline.one_of_near_copies(spark, d.where("false"), "").count() == 0
 
 
+def test_simhash_links_through_null_ids(spark):
+    # The text without an id has the least fingerprint of a chain; the two others link to it.
+    rng = random.Random(21)
+    base = prose(rng, 400).split()
+    made = [" ".join(base)]
+    for i in range(60):
+        own = list(base)
+        own[i * 6] = f"edit{i}"
+        made.append(" ".join(own))
+    fps = {t: plain_fingerprint(t) for t in made}
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    links = lambda t: [u for u in made if fps[u] != fps[t] and bin(fps[u] ^ fps[t]).count("1") <= 3]
+    least, others = next((t, o) for t in made if len(o := [u for u in links(t) if signed(fps[u]) > signed(fps[t]) and fps[u] > fps[t]]) >= 2 and len({fps[u] for u in o}) >= 2)
+    first = others[0]
+    second = next(u for u in others if fps[u] != fps[first])
+    d = spark.createDataFrame([(None, least), (1, first), (2, second)], "doc_id long, text string")
+    assert [r.component_id for r in simhash.near_duplicates(d).collect()] == [1, 1, 1]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]
