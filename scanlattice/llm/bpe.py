@@ -4,8 +4,14 @@ Long texts are cut before a space that a letter or digit follows: every match of
 pattern starts there anyway, so the pieces' ids joined are the ids of the whole.  Decoding
 works on raw bytes, so ids that end inside a character lose nothing.
 
+Long runs of white space overflow the stack of the library's pattern matcher, which keeps a
+way back for every character.  What the pattern matches there is known without it: the run
+but for its last character, or all of it at the end of the text.  That match goes to the
+library as one piece of bytes.
+
 Defined results: a null text counts as empty and has no ids.  Nothing is ever a special
-token.  Whole texts are encoded, whatever their length.
+token.  Whole texts are encoded, whatever their length.  Rows come back one for one, repeated
+ids and repeated rows included; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +31,12 @@ from .common import named, rows_of, text_of
 #: Texts above this many characters are cut at safe boundaries.
 PIECE_CHARS = 20_000
 _SAFE = re.compile(r" (?=[^\W_])")
+#: Runs of white space from this many characters on are matched here; the fixed last
+#: alternatives of the patterns for which that holds; the characters that they mean by \s.
+LONG_RUN = 1000
+RUNS = r"|\s+(?!\S)|\s+"
+WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{WHITE_SPACE}]{{{LONG_RUN},}}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -43,12 +55,24 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(text: str, enc: tiktoken.Encoding) -> list[int]:
+def _ordinary(text: str, enc: tiktoken.Encoding) -> list[int]:
     if len(text) <= PIECE_CHARS:
         return enc.encode_ordinary(text)
     return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
 
 
+def encode(text: str, enc: tiktoken.Encoding) -> list[int]:
+    if len(text) < LONG_RUN or not enc._pat_str.endswith(RUNS) or not (runs := [m.span() for m in _RUN.finditer(text)]):
+        return _ordinary(text, enc)
+    out, at = [], 0
+    for begin, end in runs:
+        end -= end < len(text)  # the last one may belong to the word that follows
+        out += _ordinary(text[at:begin], enc)
+        out += enc._encode_single_piece(text[begin:end].encode())
+        at = end
+    return out + _ordinary(text[at:], enc)
+
+
 def decode(ids: list[int], enc: tiktoken.Encoding) -> bytes:
     return enc.decode_bytes(ids)
 
@@ -62,7 +86,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for batch in rows_of(batches, 500):
+        for batch in rows_of(batches):
             ids = [encode(t, enc) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
@@ -74,7 +98,7 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for batch in rows_of(batches, 500):
+        for batch in rows_of(batches):
             out = [decode(ids or [], enc) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "decoded": pa.array(out, pa.binary())})
 
@@ -87,7 +111,7 @@ def digest_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for batch in rows_of(batches, 500):
+        for batch in rows_of(batches):
             n, of_ids, of_bytes = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = encode(text, enc)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,17 +42,26 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(named(name).cast("string"), F.lit(""))
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column of ``frames`` has it in any case."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    A folder of our own is set only where the cluster names none, as in tests.
+    A local master may leave it unset, as in tests: then it is a folder of this process's own.
+    A cluster may not, since executors wouldn't see each other's local folders.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        if (root := spark.sparkContext.getCheckpointDir()) is None:
-            root = "/tmp/checkpoints/scanlattice"
-            spark.sparkContext.setCheckpointDir(root)
-        at = root
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scanlattice-"))
+        at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
@@ -65,8 +78,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``most`` rows, so that Python copies stay small."""
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """About how many bytes each value holds: of texts, binaries and lists."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        n = pc.binary_length(column)
+    elif pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        n = pc.multiply(pc.list_value_length(column), 8)
+    else:
+        return np.zeros(len(column), np.int64)
+    return pc.fill_null(n, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], most: int = 256, most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` rows and, but for single longer rows, of at
+    most ``most_bytes``, so that Python copies stay small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, most):
-            yield batch.slice(at, most)
+        end = np.cumsum(sum((_bytes_of(c) for c in batch.columns), np.zeros(batch.num_rows, np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            before = end[at - 1] if at else 0
+            n = int(np.searchsorted(end, before + most_bytes, side="right")) - at
+            n = max(1, min(n, most, batch.num_rows - at))
+            yield batch.slice(at, n)
+            at += n

@@ -13,8 +13,13 @@
 4. *Match*: every piece finds its round by length and rank, in parallel, from the rounds'
    bounded list; this needs no shuffle.
 
+The rounds are planned on the driver: they see a row per length, and per partition where a
+length spans several, and never a document; the README has the figures.
+
 Defined results: a null or empty text is one piece that holds the end token alone.  Pieces
-of equal length are ranked by doc_id (nulls first), then piece.  No documents: no rows.
+of equal length are ranked by doc_id (nulls first), then piece; rows that repeat an id are
+packed each for itself, in any order.  No documents: no rows.  Columns but the id and the text
+are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -60,12 +65,18 @@ class FileTokenizer:
     """
 
     def __init__(self, file: str):
+        self.file = file
+        with open(file, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens") or ()]
+        self.ranks = self._ranks(spec)
+
+    @functools.cached_property
+    def library(self):
+        """The library's own tokenizer, which most workers never need in memory."""
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(file)
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        with open(file, encoding="utf-8") as f:
-            self.ranks = self._ranks(json.load(f))
+        return Tokenizer.from_file(self.file)
 
     def _ranks(self, spec: dict) -> tiktoken.Encoding | None:
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -101,7 +112,7 @@ def token_pieces(docs: DataFrame, file: str, max_len: int = MAX_LEN, end: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(file)
-        for batch in rows_of(batches, 500):
+        for batch in rows_of(batches):
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "input_ids")}
             for doc, ids in zip(batch.column(0).to_pylist(), map(tok.encode, batch.column(1).to_pylist())):
                 ids.append(end)
