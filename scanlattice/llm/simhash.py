@@ -1,25 +1,26 @@
 """SimHash near-duplicates by anchor-point covering.
 
-*Anchors* are the words of a covering code on the fingerprint's first bits: the binary Golay
-code [23, 12], whose balls of radius 3 cover every 23-bit word exactly once, or the product
-of two of them on the first 46 bits.  A fingerprint's *home* is the anchor that covers it.
-Any fingerprint within ``threshold`` bits of it lies within covering radius + ``threshold``
-of that home.  So each fingerprint is replicated to every anchor within that distance and
-compared, anchor by anchor, with the fingerprints at home there: no link is lost.  With two
-codes the bits by which a fingerprint leaves the radius of each are added up against the
-one threshold.
-
-The code is chosen by the number of distinct fingerprints: 4,096 anchors (71 replicas each)
-up to ``ONE_CODE_UP_TO``, 16.8 million anchors (325 replicas) beyond.  Both are exact.
+*Anchors* are the words of a covering code on the fingerprint's first 46 bits: the product of
+two binary Golay codes [23, 12], whose balls of radius 3 cover every 23-bit word exactly once.
+A fingerprint's *home* is the anchor that covers it.  Any fingerprint within ``threshold``
+bits of it lies within covering radius + ``threshold`` of that home, where the bits by which
+it leaves the radius of each code are added up against the one threshold.  So each fingerprint
+is replicated to every anchor within that distance (16.8 million anchors, 302 replicas on
+average) and compared, anchor by anchor, with the fingerprints at home there: no link is lost.
+``codes=1`` uses the first code alone (4,096 anchors, 72 replicas), which is as exact and only
+pays for small inputs; nothing chooses it by size.
 
 Skew: exact copies share one fingerprint and are folded before anything is replicated.
 Anchors that are home to more than a bounded share are split into blocks, and every pair of
 blocks is a task of its own.  A task keeps the compared fingerprints of one such pair of
-blocks and returns a star per local component, never all pairs.
+blocks and returns a star per local component, never all pairs.  Components are found on the
+fingerprints, so that links hold through rows without an id and rows that repeat one.
 
 Defined results: null texts count as empty and have fingerprint zero, which links like any
-other.  Rows with a null doc_id have a fingerprint and link like others; null ids never name a
-component.
+other.  Rows with a null doc_id have a fingerprint and link like others, but never name a
+component; a component without any id has a null component_id.  Two texts under one doc_id
+are two rows, each in its own component.  Empty tables give no rows.  Other columns are not
+read by ``near_duplicates`` and pass ``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
@@ -34,14 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, lower_ascii, materialize, named, rows_of, text_of
+from .common import WORD, lower_ascii, materialize, named, rows_of, text_of, unused
 from .components import components
 
 SHINGLE = 3
 THRESHOLD = 3
 RADIUS = 3
 SEED = 42
-ONE_CODE_UP_TO = 8_000_000
+CODES = 2
 #: Homes at one anchor above which it is split, and the most anchors that can be above it.
 BLOCK = 50_000
 HOT_ANCHORS = 20_000
@@ -95,15 +96,30 @@ def golay() -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.uint32), home
 
 
-def _near(words: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per chunk of 23-bit words: (row, anchor, distance) within ``most``."""
-    code, _ = golay()
-    out = []
-    for at in range(0, len(words), 512):
-        far = np.bitwise_count(words[at : at + 512, None] ^ code[None, :])
-        row, anchor = np.nonzero(far <= most)
-        out.append((row + at, anchor, far[row, anchor].astype(np.int64)))
-    return out
+@functools.lru_cache(maxsize=4)
+def _reach(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What is within ``most`` bits of a word, by the pattern in which it differs from its home.
+
+    (the 2,048 patterns in order, first entry of each and the end, anchors, distances).  The code
+    is linear, so the anchors around any word are those around its pattern, moved by its home.
+    """
+    code, home = golay()
+    words = np.flatnonzero(home == 0).astype(np.uint32)
+    far = np.bitwise_count(words[:, None] ^ code[None, :])
+    row, anchor = np.nonzero(far <= most)
+    return words, np.append(np.searchsorted(row, np.arange(len(words))), len(row)), anchor, far[row, anchor].astype(np.int64)
+
+
+def _near(words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, distance) of all anchors within ``most`` bits of 23-bit words, by row."""
+    code, home = golay()
+    patterns, begin, anchor, far = _reach(most)
+    own = home[words].astype(np.int64)
+    at = np.searchsorted(patterns, words ^ code[own])
+    n = begin[at + 1] - begin[at]
+    row = np.repeat(np.arange(len(words)), n)
+    entry = np.arange(n.sum()) + np.repeat(begin[at] - (np.cumsum(n) - n), n)
+    return row, anchor[entry] ^ own[row], far[entry]
 
 
 def replicas(fps: np.ndarray, codes: int, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,13 +127,13 @@ def replicas(fps: np.ndarray, codes: int, threshold: int = THRESHOLD) -> tuple[n
     mask = np.uint64((1 << _N) - 1)
     _, home = golay()
     first = (fps & mask).astype(np.uint32)
-    rows, anchors, excess = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*_near(first, RADIUS + threshold))) or [[], [], []]))
+    rows, anchors, excess = _near(first, RADIUS + threshold)
     excess = np.maximum(excess - RADIUS, 0)
     at_home = home[first].astype(np.int64)
     if codes == 1:
         return rows, anchors, anchors == at_home[rows]
     second = (fps >> np.uint64(_N) & mask).astype(np.uint32)
-    rows2, anchors2, excess2 = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*_near(second, RADIUS + threshold))) or [[], [], []]))
+    rows2, anchors2, excess2 = _near(second, RADIUS + threshold)
     excess2 = np.maximum(excess2 - RADIUS, 0)
     at_home = at_home << 12 | home[second].astype(np.int64)
     out = []
@@ -165,51 +181,57 @@ def _stars(homes: np.ndarray, others: np.ndarray, threshold: int) -> tuple[np.nd
 
 
 def _replicate(codes: int, threshold: int, hot: dict[int, int]):
+    """Rows (key, fp).  From the top, the key's bits are the anchor, a pair of blocks of 14 bits
+    each, and whether the fingerprint is at home there."""
+    anchors = np.array(sorted(hot), np.int64)
+    blocks = np.array([hot[a] for a in sorted(hot)], np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 4096):
+        for batch in rows_of(batches, 1024):
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             row, anchor, is_home = replicas(fps, codes, threshold)
             fp = fps[row]
-            n = np.ones(len(row), np.int64)
-            for a, blocks in hot.items():
-                n[anchor == a] = blocks
-            own = _block_of(fp, n)
-            parts = []
-            for home in (True, False):  # a home goes to (own, j), a replica to (i, own), for all j and i
-                sel = np.flatnonzero(is_home) if home else np.arange(len(row))
-                times = n[sel]
-                sel = np.repeat(sel, times)
-                other = np.arange(len(sel)) - np.repeat(np.cumsum(times) - times, times)
-                i, j = (own[sel], other) if home else (other, own[sel])
-                if not home:
-                    keep = ~(is_home[sel] & (n[sel] == 1))  # whole anchors hold their homes already
-                    sel, i, j = sel[keep], i[keep], j[keep]
-                parts.append((anchor[sel], i, j, np.full(len(sel), home), fp[sel]))
-            a, i, j, home, fp = (np.concatenate(x) for x in zip(*parts))
-            yield pa.RecordBatch.from_pydict(
-                {"anchor": pa.array(a.astype(np.int32)), "blocks": pa.array((i << 16 | j).astype(np.int32)), "home": pa.array(home), "fp": pa.array(fp.view(np.int64))}
-            )
+            keys, out = [anchor << 29 | is_home], [fp]
+            if len(anchors):
+                at = np.minimum(np.searchsorted(anchors, anchor), len(anchors) - 1)
+                crowded = np.flatnonzero(anchors[at] == anchor)
+                n = blocks[at[crowded]]
+                own = _block_of(fp[crowded], n)
+                keys, out = [np.delete(keys[0], crowded)], [np.delete(fp, crowded)]
+                for home in (True, False):  # a home goes to (own, j), a replica to (i, own), for all j and i
+                    sel = np.flatnonzero(is_home[crowded]) if home else np.arange(len(crowded))
+                    times = n[sel]
+                    sel = np.repeat(sel, times)
+                    other = np.arange(len(sel)) - np.repeat(np.cumsum(times) - times, times)
+                    i, j = (own[sel], other) if home else (other, own[sel])
+                    keys.append(anchor[crowded[sel]] << 29 | i << 15 | j << 1 | home)
+                    out.append(fp[crowded[sel]])
+            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys)), "fp": pa.array(np.concatenate(out).view(np.int64))})
 
     return run
 
 
 def _compare(threshold: int):
-    """Sorted (anchor, blocks, home, fp) rows in; stars of local components out."""
+    """Rows (key, fp), sorted by key, in; stars of local components out."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
-        key = None
+        group = None
         for batch in batches:
-            if not batch.num_rows:
+            key, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(key):
                 continue
-            k = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) << 32 | batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            home, fp = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(k)) + 1), len(k)]
-            for a, b in zip(cuts, cuts[1:]):
-                if k[a] != key:
+            home, key = (key & 1).astype(bool), key >> 1
+            begin = np.append(0, np.flatnonzero(np.diff(key)) + 1)
+            end = np.append(begin[1:], len(key))
+            # Only groups of two rows or more with a home are of use; the ends may go on in other batches.
+            useful = (end - begin > 1) & np.logical_or.reduceat(home, begin)
+            useful[[0, -1]] = True
+            for a, b in zip(begin[useful].tolist(), end[useful].tolist()):
+                if key[a] != group:
                     if kept:
                         yield tuple(map(np.concatenate, zip(*kept)))
-                    kept, key = [], k[a]
+                    kept, group = [], key[a]
                 kept.append((home[a:b], fp[a:b].view(np.uint64)))
         if kept:
             yield tuple(map(np.concatenate, zip(*kept)))
@@ -224,10 +246,8 @@ def _compare(threshold: int):
     return run
 
 
-def links(fps: DataFrame, threshold: int = THRESHOLD, codes: int | None = None, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, threshold: int = THRESHOLD, codes: int = CODES, block: int = BLOCK) -> DataFrame:
     """(a, b): stars that connect exactly what chains of links connect.  ``fps``: distinct fp."""
-    if codes is None:
-        codes = 1 if fps.count() <= ONE_CODE_UP_TO else 2
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, home = golay()
@@ -243,13 +263,13 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, codes: int | None = None,
     # At most HOT_ANCHORS anchors can hold a HOT_ANCHORS-th of all, which bounds this list.
     most = max(block, fps.count() // HOT_ANCHORS)
     hot = {r.anchor: min(1 << 14, -(-r["count"] // most)) for r in at_home.where(F.col("count") > most).collect()}
-    spread = fps.mapInArrow(_replicate(codes, threshold, hot), "anchor int, blocks int, home boolean, fp long")
+    spread = fps.mapInArrow(_replicate(codes, threshold, hot), "key long, fp long")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = spread.repartition(n, "anchor", "blocks").sortWithinPartitions("anchor", "blocks")
+    dealt = spread.repartition(n, F.shiftright("key", 1)).sortWithinPartitions("key")
     return dealt.mapInArrow(_compare(threshold), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, codes: int | None = None, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, codes: int = CODES, block: int = BLOCK) -> DataFrame:
     """doc_id, text_hash, fp, component_id: one row per row of ``docs``."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
@@ -273,9 +293,10 @@ def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
     """``keep_one`` by the components ``found``: doc_id, text_hash, component_id."""
     repeated = found.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     # Only ids that go or repeat are needed; all others pass the join without a partner.
-    marked = materialize(repeated.where("doc_id <> component_id or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("doc_id") == F.col("component_id")).alias("_stays")), "near-marked")
-    met = docs.join(marked, (named(id_col).cast("long") == F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_hash")), "left")
+    own, text_hash, stays = (unused(c, docs) for c in ("_near_id", "_near_hash", "_near_stays"))
+    marked = materialize(repeated.where("doc_id <> component_id or n > 1").select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash), (F.col("doc_id") == F.col("component_id")).alias(stays)), "near-marked")
+    met = docs.join(marked, (named(id_col).cast("long") == F.col(own)) & (F.xxhash64(text_of(text_col)) == F.col(text_hash)), "left")
     columns = [named(c) for c in docs.columns]
-    one = met.where("_id is null").select(*columns)
-    first = met.where("_stays").dropDuplicates(["_id", "_hash"]).select(*columns)
-    return one.unionByName(first) if marked.where("_stays").limit(1).count() else one
+    one = met.where(F.col(own).isNull()).select(*columns)
+    first = met.where(F.col(stays)).dropDuplicates([own, text_hash]).select(*columns)
+    return one.unionByName(first) if marked.where(F.col(stays)).limit(1).count() else one
