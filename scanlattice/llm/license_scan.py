@@ -1,27 +1,38 @@
 """License scan by a positional rare-token index, in DataFrame functions only.
 
-A first pass counts, over all documents, in how many each license word occurs.  The two words
-of a template's key phrase with the highest inverse document frequency are its index entries,
-each with its place in the template; as the key phrase must stand in full, no place is lost.  In a document, every place of the first entry proposes a start;
-the second entry must stand at its own distance from that start, the share of the template's
-words found in place must reach the template's least, and the mandatory key phrase must
-stand in full.  Only documents that hold an index entry at all build a list of words.
+*IDF*: a first pass counts, over all documents, in how many each license word occurs.
+
+*Postings*: a key phrase must stand in full, so each file that a template fits holds all its
+words.  The template is posted under the two of them with the highest inverse document
+frequency, each with its place in the template: the words by which such a file looks it up,
+rarest first.  No place is lost by that, so the counts decide the cost and never a label.
+
+*Lookup*: every license word of a file proposes (template, start) from the postings of the
+rarest words, then from those of the second; only what both propose, by relative position,
+is a candidate.  The cost of a file grows with its license words, not with the templates.
+
+*Verify*: the key phrase must stand in full, and the share of the template's words found in
+place must reach the template's least.  Only documents that hold a rarest word at all build
+a list of words.
 
 Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z.
 
-Defined results: a null text has no words.  Without a place, first_word and last_word are
-null, labels are empty strings and the score is 0.
+Defined results: a null or empty text has no words.  Without a place, first_word and last_word
+are null, labels are empty strings and the score is 0.  Rows come back one for one, repeated
+ids and rows included; an empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, named, text_of
+from .common import LOWER, UPPER, lower_ascii, named, text_of
+from .license_texts import SENTENCES
 
 #: A word, in text whose A-Z still stand.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -30,28 +41,40 @@ _IN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
 
 
+def words_of(text: str) -> tuple[str, ...]:
+    return tuple(re.findall(WORD, lower_ascii(text)))
+
+
 @dataclass(frozen=True)
 class Template:
     """``key``: the phrase that must stand in full; ``least``: share of the words in place."""
 
     label: str
     words: tuple[str, ...]
-    key: str
+    key: tuple[str, ...]
     least: float = 0.8
 
     @classmethod
     def of(cls, label: str, text: str, key: str, least: float = 0.8) -> Template:
-        return cls(label, tuple(text.split()), key, least)
+        return cls(label, words_of(text), words_of(key), least)
 
     @property
     def key_at(self) -> int:
-        k = self.key.split()
-        return next(i for i in range(len(self.words)) if list(self.words[i : i + len(k)]) == k)
+        return next(i for i in range(len(self.words)) if self.words[i : i + len(self.key)] == self.key)
+
+    @property
+    def places(self) -> list[int]:
+        """Places of the key phrase's words that the template can be posted under."""
+        at = self.key_at
+        own = [i for i in range(at, at + len(self.key)) if self.words[i] not in STOP and not self.words[i].isdigit()]
+        return own or [at]
 
 
-#: License notices as their words.
+#: Words too common in any prose to look up.
+STOP = frozenset("a all and any are at be by can for in into is it may not of on one or the this to under use used version was with without you".split())
+#: Short notices as their words, then the sentences of whole ones.
 TEMPLATES = (
-    Template.of("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    Template.of("apache-2.0", "licensed under the apache license version 2 0", "under the apache"),
     Template.of("mit", "released under the mit license", "mit license", 0.6),
     Template.of("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted"),
     Template.of("gpl-3.0", "gnu general public license version 3", "general public license version 3", 0.9),
@@ -60,19 +83,13 @@ TEMPLATES = (
     Template.of("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     Template.of("mpl-2.0", "mozilla public license version 2 0", "mozilla public license", 0.6),
     Template.of("public-domain", "released into the public domain", "public domain", 0.8),
+    *(Template.of(label, sentence, key) for label, key, sentence in SENTENCES),
 )
-#: Words too common in any prose to index by.
-STOP = frozenset("a all and any are by in into is of or the to use with without version under forms".split())
-
-
-def _words(phrase: str) -> tuple[str, ...]:
-    return tuple(phrase.split())
 
 
-def candidates(templates=TEMPLATES, base=BASE) -> list[str]:
-    """The words that templates can be indexed by."""
-    every = {w for t in templates for w in t.words} | {w for _, p in base for w in _words(p)}
-    return sorted(w for w in every if w not in STOP and not w.isdigit())
+def candidates(templates) -> list[str]:
+    """The words that templates can be posted under."""
+    return sorted({t.words[i] for t in templates for i in t.places})
 
 
 def _any_of(words: list[str]) -> str:
@@ -89,13 +106,14 @@ def document_frequency(docs: DataFrame, words: list[str], text_col: str = "text"
     return n, n.pop("", 0)
 
 
-def index(templates, n: dict[str, int], documents: int) -> list[tuple[Template, tuple[int, int]]]:
-    """Each template with the places of its key phrase's two words of highest IDF (one, if it has but one)."""
+def postings(templates, n: dict[str, int], documents: int) -> tuple[dict[str, list[tuple[int, int]]], ...]:
+    """(word -> (template, place)) of the templates' rarest words, and of their second rarest."""
     idf = lambda w: math.log((1 + documents) / (1 + n.get(w, 0)))
-    out = []
-    for t in templates:
-        places = sorted((i for i in range(t.key_at, t.key_at + len(_words(t.key))) if t.words[i] not in STOP and not t.words[i].isdigit()), key=lambda i: (-idf(t.words[i]), i))
-        out.append((t, (places[0], places[1] if len(places) > 1 else places[0])))
+    out: tuple[dict[str, list[tuple[int, int]]], ...] = ({}, {})
+    for k, t in enumerate(templates):
+        rarest = sorted(t.places, key=lambda i: (-idf(t.words[i]), i))
+        for own, place in zip(out, (rarest[0], rarest[min(1, len(rarest) - 1)])):
+            own.setdefault(t.words[place], []).append((k, place))
     return out
 
 
@@ -103,25 +121,32 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _starts(words: Column, hits: Column, t: Template, at: tuple[int, int]) -> Column:
-    """The (start, share) structs of a template's verified places."""
-    first, second = at
-    proposed = F.transform(F.filter(hits, lambda h: h["w"] == t.words[first]), lambda h: h["i"] - F.lit(first))
-    key = _words(t.key)
-    k = t.key_at
-    in_place = lambda s, i: F.coalesce(F.when(s + i >= 0, F.get(words, s + i) == t.words[i]), F.lit(False))
+def _ints(**values: int) -> Column:
+    return F.struct(*(F.lit(v).alias(k) for k, v in values.items()))
 
-    def verified(s: Column) -> Column:
-        ok = in_place(s, second)
-        for j in range(len(key)):
-            ok = ok & in_place(s, k + j)
-        return ok
 
-    def share(s: Column) -> Column:
-        return sum((in_place(s, i).cast("int") for i in range(1, len(t.words))), in_place(s, 0).cast("int")) / F.lit(float(len(t.words)))
+def _proposed(hits: Column, posted: dict[str, list[tuple[int, int]]]) -> Column:
+    """(template, start) of every posting of every hit, of which none is repeated."""
+    table = F.create_map(*(x for w, own in sorted(posted.items()) for x in (F.lit(w), F.array(*(_ints(t=t, at=at) for t, at in own)))))
+    looked_up = F.transform(hits, lambda h: F.transform(F.coalesce(F.try_element_at(table, h["w"]), F.array().cast("array<struct<t:int,at:int>>")), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("start"))))
+    return F.array_distinct(F.flatten(looked_up))
 
-    scored = F.transform(F.filter(proposed, verified), lambda s: F.struct(s.alias("start"), share(s).alias("share")))
-    return F.filter(scored, lambda x: x["share"] >= t.least)
+
+def _places(words: Column, found: Column, templates) -> Column:
+    """(t, label, start, words, share) of the candidates ``found`` that hold."""
+    strings = lambda xs: F.array(*map(F.lit, xs))
+    table = F.array(*(F.struct(F.lit(t.label).alias("label"), strings(t.words).alias("words"), strings(t.key).alias("key"), F.lit(t.key_at).alias("key_at"), F.lit(float(t.least)).alias("least")) for t in templates))
+    stands = lambda own, start: F.transform(own, lambda x, i: F.get(words, start + i).eqNullSafe(x))
+
+    def measured(c: Column) -> Column:
+        def of(t: Column) -> Column:
+            whole = F.forall(stands(t["key"], c["start"] + t["key_at"]), lambda same: same)
+            share = F.size(F.filter(stands(t["words"], c["start"]), lambda same: same)) / F.size(t["words"]).cast("double")
+            return F.struct(c["t"].alias("t"), t["label"].alias("label"), c["start"].cast("long").alias("start"), F.size(t["words"]).alias("words"), F.when(whole & (share >= t["least"]), share).alias("share"))
+
+        return _let(F.get(table, c["t"]), of)
+
+    return F.filter(F.transform(found, measured), lambda x: x["share"].isNotNull())
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, base=BASE) -> DataFrame:
@@ -129,11 +154,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     ``spans``: (label, start, words, share) of every place, base phrases included.
     """
-    own = [Template(label, _words(p), p, 1.0) for label, p in base]
-    every = own + list(templates)
-    n, documents = document_frequency(docs, candidates(templates, base), text_col)
-    indexed = index(every, n, documents)
-    entries = sorted({t.words[at[0]] for t, at in indexed})
+    every = [Template.of(label, p, p, 1.0) for label, p in base] + list(templates)
+    n, documents = document_frequency(docs, candidates(every), text_col)
+    first, second = postings(every, n, documents)
+    entries = sorted(first)
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
     rows = rows.withColumn("all", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)))
     rows = rows.select(
@@ -141,34 +165,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         F.size("all").cast("long").alias("n_words"),
         F.when(F.col("t").rlike(_any_of(entries)), F.transform("all", lambda w: F.translate(w, UPPER, LOWER))).alias("w"),
     )
-    rows = rows.withColumn("hits", F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(entries)))
-
-    def spans(some) -> Column:
-        def named_place(t: Template):
-            return lambda x: F.struct(
-                F.lit(t.label).alias("label"), x["start"].cast("long").alias("start"), F.lit(len(t.words)).alias("words"), x["share"].alias("share")
-            )
-
-        parts = [F.transform(_starts(F.col("w"), F.col("hits"), t, at), named_place(t)) for t, at in some]
-        return F.concat(*parts)
-
-    some = F.size("hits") > 0
-    rows = rows.select(
-        "doc_id", "n_words", F.when(some, spans(indexed[: len(own)])).alias("base_spans"), F.when(some, spans(indexed[len(own) :])).alias("more")
-    )
-    none = F.array().cast("array<struct<label:string,start:bigint,words:int,share:double>>")
-    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("base_spans", "more")})
+    looked_up = sorted({*first, *second})
+    hits = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(looked_up))
+    found = _let(hits, lambda h: F.array_intersect(_proposed(h, first), _proposed(h, second)))
+    rows = rows.select("doc_id", "n_words", "w", found.alias("found"))
+    none = F.array().cast("array<struct<t:int,label:string,start:bigint,words:int,share:double>>")
+    rows = rows.select("doc_id", "n_words", F.coalesce(F.when(F.size("found") > 0, _places(F.col("w"), F.col("found"), every)), none).alias("places"))
+    own = F.transform(F.filter("places", lambda x: x["t"] < len(base)), lambda x: F.struct(x["label"], x["start"]))
+    rows = rows.withColumn("base", own)
     labels = lambda c: F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"]))))
-    both = F.concat("base_spans", "more")
-    starts = F.transform("base_spans", lambda x: x["start"])
+    starts = F.transform("base", lambda x: x["start"])
     return rows.select(
         "doc_id",
         "n_words",
-        F.size("base_spans").cast("long").alias("n_base"),
+        F.size("base").cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),
-        labels("base_spans").alias("base_labels"),
-        labels(both).alias("labels"),
-        F.coalesce(F.array_max(F.transform(both, lambda x: x["share"])), F.lit(0.0)).alias("score"),
-        both.alias("spans"),
+        labels("base").alias("base_labels"),
+        labels("places").alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda x: x["share"])), F.lit(0.0)).alias("score"),
+        F.transform("places", lambda x: F.struct(x["label"], x["start"], x["words"], x["share"])).alias("spans"),
     )
