@@ -7,8 +7,10 @@ kept by its posterior probability of being good, not by passing every rule.
 
 Pseudo-counts are fractions of the corpus, so the fit behaves alike at every size.
 
-Defined results: a null text has no words.  Documents that fail the base rules are not kept,
-whatever the posterior.  An empty table gives the prior's model and no rows.
+Defined results: a null or empty text has no words and every rule abstains.  Documents that
+fail the base rules are not kept, whatever the posterior.  Rows come back one for one, repeated
+ids and rows included, each with its own vote in the fit.  An empty table gives the prior's
+model and no rows.  ``keep_good`` carries all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,11 +53,14 @@ def _let(value: Column, body) -> Column:
 def _repeated(words: Column) -> Column:
     """Words that stand in a 3-word window found twice or more.
 
-    Windows are sorted with their place appended; equal neighbours are the repeats.  Words
-    hold no space, so a window's text is unambiguous and the comparison is exact.
+    Texts whose windows all differ by hash have none.  In the others, windows are sorted with
+    their place appended; equal neighbours are the repeats.  Words hold no space, so a
+    window's text is unambiguous and the comparison is exact.
     """
     n = F.size(words) - 2
-    windows = F.transform(F.slice(words, F.lit(1), F.greatest(n, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1), F.lit(" "), F.get(words, i + 2)))
+    firsts = F.slice(words, F.lit(1), F.greatest(n, F.lit(0)))
+    hashes = F.transform(firsts, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    windows = F.transform(firsts, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1), F.lit(" "), F.get(words, i + 2)))
 
     def covered(places: Column) -> Column:
         steps = F.transform(places, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(places, j + 1) - p, F.lit(3))))
@@ -75,24 +80,21 @@ def _repeated(words: Column) -> Column:
 
     def count(win: Column) -> Column:
         ordered = F.sort_array(F.transform(win, lambda x, i: F.concat(x, F.lit(" "), F.lpad(i.cast("string"), 9, "0"))))
-        return F.when(F.size(F.array_distinct(win)) < F.size(win), _let(ordered, lambda o: _let(places(o), covered))).otherwise(F.lit(0).cast("long"))
+        return _let(ordered, lambda o: _let(places(o), covered))
 
-    return F.when(n > 0, _let(windows, count)).otherwise(F.lit(0).cast("long"))
+    none = F.lit(0).cast("long")
+    found = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _let(windows, count)).otherwise(none)
+    return F.when(n > 0, _let(hashes, found)).otherwise(none)
 
 
 def _counted(rows: DataFrame, *kept: Column) -> DataFrame:
-    """``kept`` and the counts of every whole text ``t``.  One narrow pass.
-
-    The row number, which is not deterministic, keeps filters on verdicts above the counts;
-    pushed below, they would repeat each count wherever a rule reads it.
-    """
+    """``kept`` and the counts of every whole text ``t``.  One narrow pass."""
     rows = rows.withColumns(
         {"w": F.array_remove(F.split("t", _SPACE), ""), "l": F.filter(F.split("t", "\n"), lambda line: line.rlike(_NO_SPACE))}
     )
     without = lambda pattern: (F.length("t") - F.length(F.regexp_replace("t", pattern, ""))).cast("long")
     return rows.select(
         *kept,
-        F.monotonically_increasing_id().alias("_row"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "w")).cast("long").alias("word_chars"),
         without("[#*$%&|<>]+").alias("n_symbols"),
@@ -206,8 +208,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns and no others.
 
-    The texts are read twice, for the fit and for the verdicts, and never shuffled.
+    The texts are counted once: rows and counts are written, and read for the fit and for the
+    verdicts.  Nothing is shuffled.
     """
     rows = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), text_of(text_col).alias("t"))
-    model = fit_counts(_counted(rows))
-    return judge(_counted(rows, F.col("row")), model).where("kept and _row >= 0").select("row.*")
+    counted = materialize(_counted(rows, F.col("row")), "quality-rows")
+    return judge(counted, fit_counts(counted)).where("kept").select("row.*")
