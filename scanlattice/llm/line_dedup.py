@@ -4,11 +4,12 @@
 become one variable mark) and the line descends the tree by its number of words and its
 first ``DEPTH`` words; below stands its template, the whole masked line.
 
-*Generalise*: two templates of a leaf of which at least ``SIMILAR`` of the words agree in place
-are variants of one; the words that differ are its variable fields.  The words are cut into one
-block more than may differ, so two variants agree in a whole block: equal blocks propose pairs,
-which are compared word by word and joined to components.  Lines without a constant word are
-their own template, words as they are, and are never generalised.
+*Generalise*: a line that agrees with a template of its leaf in at least ``SIMILAR`` of the
+words, in place, is a variant of it; the words that differ are its variable fields.  The words
+are cut into one block more than may differ, so variants share a whole block: under each block
+stands the template that most documents hold, all others with that block are compared with it
+word by word, and each joins the most frequent one that it is a variant of.  Lines without a
+constant word are their own template, words as they are, and are never generalised.
 
 *Drop*: a template that stands in ``MIN_DOCUMENTS`` documents or more is boilerplate, and so is
 one of over ``LONG`` words that stands in two.  Documents of a generalised template are counted
@@ -18,11 +19,16 @@ doc_id and are dropped from all others.
 Skew: copies of a line are combined map-side before templates are dealt to leaves; each
 document counts once per template by a distinct within its own row, so no second shuffle
 counts documents.  Lines meet the recurring templates in an equi-join, whose hot keys can be
-split.  Only templates that share their leaf are read with their words and compared; what a document loses is gathered per document and so bounded by its own lines.
+split.  Only templates that share their leaf are read with their words; each is compared with
+one template per block, so that the work grows with the words and never with the pairs of a leaf
+or block.  What a document loses is gathered per document and so bounded by its own lines.
 
 Defined results: null texts count as empty; lines without a word are kept and never
 counted.  If all documents of a template have null ids, it is dropped from none.  Documents
-that lose nothing keep their text as it is, null included.
+that lose nothing keep their text as it is, null included.  Rows come back one for one; every
+row counts as a document, repeated ids and rows included, and rows that repeat the smallest id
+all keep the line.  An empty table gives no rows.  Other columns pass whatever their names, but
+for the one named as the count, which is replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +36,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, named, text_of
-from .components import grouped_components
+from .common import materialize, named, text_of, unused
+from .components import components
 
 DEPTH = 3
 SIMILAR = 0.7
@@ -65,13 +71,37 @@ def _masked(line: Column) -> Column:
     return _let(F.when(line.rlike(_MARKS), masked).otherwise(line), _spaced)
 
 
-def _templates_of(text: Column) -> Column:
-    """The template of every line of a text, null for lines without a word."""
+def _words_in(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, row, templates: the template of every line of a document, null for lines
+    without a word; and own_*, arrays side by side of what each different line of it is."""
+    text = text_of(text_col)
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("row"), F.transform(F.split(text, "\n"), _masked).alias("masked"))
+    rows = rows.withColumn("own_line", F.array_distinct(F.filter("masked", lambda m: m != "")))
+    # Lines of variable fields alone start with a line feed and stand in no leaf.
+    leaf = lambda m: F.when(~F.startswith(m, F.lit("\n")), F.xxhash64(_words_in(m), F.substring_index(m, " ", DEPTH)))
+    return rows.select(
+        "doc_id",
+        "text_hash",
+        "row",
+        F.transform("masked", lambda m: F.when(m != "", F.xxhash64(m))).alias("templates"),
+        F.transform("own_line", lambda m: F.xxhash64(m)).alias("own_template"),
+        F.transform("own_line", leaf).alias("own_leaf"),
+        F.transform("own_line", lambda m: _words_in(m)).alias("own_words"),
+        "own_line",
+    )
+
 
-    def of(line: Column) -> Column:
-        return _let(_masked(line), lambda m: F.when(m != "", F.xxhash64(m)))
+def _own(table: DataFrame, *fields: str) -> DataFrame:
+    """A row per different line of a document: doc_id, row and some of what ``parsed`` says of it.
 
-    return F.transform(F.split(text, "\n"), of)
+    The outer form, because the optimizer guards the other one by computing its input twice.
+    """
+    each = table.select("doc_id", "row", F.explode_outer(F.arrays_zip(*(f"own_{f}" for f in fields))).alias("own"))
+    return each.where("own is not null").select("doc_id", "row", *(F.col(f"own.own_{f}").alias(f) for f in fields))
 
 
 def _blocks(words: Column, leaf: Column, similar: float) -> Column:
@@ -84,65 +114,63 @@ def _blocks(words: Column, leaf: Column, similar: float) -> Column:
 
 
 def _variants(shared: DataFrame, similar: float) -> DataFrame:
-    """(a, root) of the templates of ``shared`` (template, leaf, line) that are variants of one."""
-    words = lambda c: F.split(c, " ")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: shared.select(F.col("template").alias(c), F.col("line").alias(f"line_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        agree = F.size(F.filter(F.zip_with(words("line_a"), words("line_b"), lambda x, y: x == y), lambda same: same))
-        return both.where(agree >= F.lit(similar) * F.greatest(F.size(words("line_a")), F.size(words("line_b")))).select("a", "b")
-
-    keys = shared.withColumn("words", words("line")).select(F.explode(_blocks(F.col("words"), F.col("leaf"), similar)).alias("key"), F.col("template").alias("node"))
-    apart = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    return grouped_components(materialize(keys.join(apart, "key"), "line-blocks"), verify)
-
-
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
-    """template, keep_doc, n_documents of every template that recurs."""
-    rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_of(text_col).alias("text"))
-    lines = rows.select("doc_id", "row", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _masked))).alias("line")).where("line <> ''")
-    lines = lines.withColumn("template", F.xxhash64("line"))
-    n_words = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    leaf = F.when(~F.startswith("line", F.lit("\n")), F.xxhash64(n_words, F.substring_index("line", " ", DEPTH)))
-    parsed = lines.select("doc_id", "template", leaf.alias("leaf"), n_words.alias("n_words"))
-    templates = materialize(parsed.groupBy("leaf", "n_words", "template").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")), "line-templates")
+    """(a, root) of the templates of ``shared`` (template, leaf, n, line) that are variants of one."""
+    split = shared.select("template", "n", "leaf", F.split("line", " ").alias("words"))
+    blocks = split.select("template", "n", F.explode_outer(_blocks(F.col("words"), F.col("leaf"), similar)).alias("block"))
+    most = F.struct("n", "template")
+    first = blocks.groupBy("block").agg(F.max(most).alias("first"), F.min("template").alias("lo"), F.max("template").alias("hi")).where("lo <> hi").select("block", "first")
+    pairs = blocks.join(first, "block").where(most < F.col("first")).select("template", "first").distinct()
+    of = shared.select(F.col("template").alias("other"), F.col("line").alias("other_line"))
+    both = materialize(pairs, "line-pairs").join(shared.select("template", "line"), "template").join(of, F.col("first.template") == F.col("other"))
+    own = F.split("line", " ")
+    agree = F.size(F.filter(F.zip_with(own, F.split("other_line", " "), lambda x, y: x == y), lambda same: same))
+    parent = both.where(agree >= F.lit(similar) * F.size(own)).groupBy("template").agg(F.max("first").alias("first"))
+    return components(parent.select(F.col("template").alias("a"), F.col("first.template").alias("b")))
+
+
+def _recurring(table: DataFrame, min_documents: int, similar: float) -> DataFrame:
+    lines = _own(table, "template", "leaf", "words")
+    templates = materialize(lines.groupBy("leaf", "words", "template").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")), "line-templates")
     crowded = templates.where("leaf is not null").groupBy("leaf").agg(F.min("template").alias("lo"), F.max("template").alias("hi")).where("lo <> hi").select("leaf")
-    shared = templates.join(crowded, "leaf").select("template", "leaf")
-    stand = materialize(lines.join(shared, "template").select("doc_id", "row", "template", "leaf", "line"), "line-variants")
-    root = _variants(materialize(stand.select("template", "leaf", "line").distinct(), "line-shared"), similar)
-    groups = root.select(F.col("a").alias("template"), "root").union(root.select("root", "root")).distinct()
-    counted = stand.select("template", "doc_id", "row").join(groups, "template").select("root", "doc_id", "row").distinct()
+    shared = materialize(templates.join(crowded, "leaf").select("template", "leaf", "n"), "line-crowded")
+    text = _own(table, "template", "line").join(shared.select("template"), "template").select("template", "line").distinct()
+    root = _variants(materialize(shared.join(text, "template"), "line-shared"), similar)
+    groups = materialize(root.select(F.col("a").alias("template"), "root").union(root.select("root", "root")).distinct(), "line-groups")
+    counted = _own(table, "template").join(groups, "template").select("root", "doc_id", "row").distinct()
     counted = counted.groupBy("root").agg(F.count(F.lit(1)).alias("group_n"), F.min("doc_id").alias("group_doc"))
     found = templates.join(groups.join(counted, "root"), "template", "left").select(
         "template",
         F.when(F.col("root").isNull(), F.col("first_doc")).otherwise(F.col("group_doc")).alias("keep_doc"),
         F.coalesce("group_n", "n").alias("n_documents"),
-        F.when(F.col("n_words") > LONG, min(2, min_documents)).otherwise(min_documents).alias("least"),
+        F.when(F.col("words") > LONG, min(2, min_documents)).otherwise(min_documents).alias("least"),
     )
     return found.where((F.col("n_documents") >= F.col("least")) & F.col("keep_doc").isNotNull()).drop("least")
 
 
+def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
+    """template, keep_doc, n_documents of every template that recurs."""
+    return _recurring(materialize(parsed(docs, id_col, text_col), "lines"), min_documents, similar)
+
+
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
     """doc_id, text_hash, drop: the places (from 0) of the lines that each document loses."""
-    lines = docs.select(
-        named(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), F.posexplode(_templates_of(text_of(text_col))).alias("at", "template")
-    ).where("template is not null")
-    lost = lines.join(recurring(docs, id_col, text_col, min_documents, similar), "template").where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
+    table = materialize(parsed(docs, id_col, text_col), "lines")
+    lines = table.select("doc_id", "text_hash", F.posexplode_outer("templates").alias("at", "template")).where("template is not null")
+    lost = lines.join(_recurring(table, min_documents, similar), "template").where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with the text that is left and n_dropped_lines; no row is dropped.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, similar: float = SIMILAR, count_col: str = "n_dropped_lines") -> DataFrame:
+    """``docs`` with the text that is left and ``count_col``; no row is dropped.
 
-    Columns of the input named n_dropped_lines are replaced.
+    Columns of the input named ``count_col`` are replaced.
     """
-    columns = [c for c in docs.columns if c.lower() != "n_dropped_lines"]
-    lost = dropped_lines(docs, id_col, text_col, min_documents, similar).select(F.col("doc_id").alias("_lost_id"), F.col("text_hash").alias("_lost_hash"), F.col("drop").alias("_drop"))
-    met = docs.join(lost, named(id_col).cast("long").eqNullSafe(F.col("_lost_id")) & (F.xxhash64(text_of(text_col)) == F.col("_lost_hash")), "left")
+    columns = [c for c in docs.columns if c.lower() != count_col.lower()]
+    lost_id, lost_hash, drop = (unused(c, docs) for c in ("_lost_id", "_lost_hash", "_lost_places"))
+    lost = dropped_lines(docs, id_col, text_col, min_documents, similar).toDF(lost_id, lost_hash, drop)
+    met = docs.join(lost, named(id_col).cast("long").eqNullSafe(F.col(lost_id)) & (F.xxhash64(text_of(text_col)) == F.col(lost_hash)), "left")
     lines = F.split(text_of(text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
     text = _let(lines, lambda ls: F.concat_ws("\n", F.transform(left, lambda i: F.get(ls, i))))
-    return met.withColumns(
-        {text_col: F.when(F.col("_drop").isNull(), named(text_col)).otherwise(text), "n_dropped_lines": F.coalesce(F.size("_drop"), F.lit(0)).cast("int")}
-    ).select(*(named(c) for c in columns), F.when(F.col("n_dropped_lines") > 0, F.col("n_dropped_lines")).otherwise(0).alias("n_dropped_lines"))
+    kept = F.when(F.col(drop).isNull(), named(text_col)).otherwise(text)
+    return met.select(*(kept.alias(c) if c == text_col else named(c) for c in columns), F.greatest(F.coalesce(F.size(drop), F.lit(0)), F.lit(0)).alias(count_col))
