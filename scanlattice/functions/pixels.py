@@ -6,8 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def whole(value: Column, by: int) -> Column:
+    """Integer division; a division in doubles would be slower and is exact to 2^53 only."""
+    return F.call_function("div", value, F.lit(by))
+
+
 def row_of(flat: Column, width: int) -> Column:
-    return F.floor(flat / F.lit(width)).cast("int")
+    return whole(flat, width).cast("int")
 
 
 def col_of(flat: Column, width: int) -> Column:
@@ -41,11 +46,6 @@ def in_annulus(px: Column, width: int, center: tuple[float, float], inner: float
     return (d2 >= F.lit(inner * inner)) & (d2 < F.lit(outer * outer))
 
 
-def frame_annulus(px: Column, width: int, center: tuple[float, float], inner: Column, outer: Column) -> Column:
-    d2 = distance2(px, width, center)
-    return (d2 >= inner * inner) & (d2 < outer * outer)
-
-
 def wrap_u16(value: Column) -> Column:
     """What an unsigned 16-bit cell holds after storing ``value``."""
     return F.pmod(value.cast("long"), F.lit(65536))

@@ -1,18 +1,22 @@
 """Datasets: a long DataFrame of hits or pixels, and the shapes it lives in.
 
 ``SparseDataset.events`` has a row per hit: scan_pos INT, frame_idx INT, px INT.
-``DenseDataset.pixels`` has a row per pixel: scan_pos INT, px INT, value.
+``DenseDataset.pixels`` has a row per pixel: scan_pos INT, px INT, value and, where positions
+hold several frames, frame_idx INT.
 Both are immutable; every operation returns a new dataset and stays lazy.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.pixels import col_of, row_of, whole
+
 Shape = tuple[int, ...]
 
 
@@ -25,9 +29,12 @@ class SparseDataset:
     events: DataFrame
     scan_shape: Shape
     frame_shape: Shape
-    frames_per_scan: int = 1
+    #: Frames of a position: a number, or what counts them when they are asked for.
+    frames: int | Callable[[], int] = 1
     metadata: dict = field(default_factory=dict, compare=False)
     allow_full_expand: bool = False
+    #: Whether ``ds[key]`` is a dataset; else it is the dense cells of the selection.
+    sparse_slicing: bool = True
 
     @property
     def num_scans(self) -> int:
@@ -57,7 +64,14 @@ class SparseDataset:
     def width(self) -> int:
         return self.frame_shape[-1]
 
+    @property
+    def frames_per_scan(self) -> int:
+        """The most frames of any position; may run a job, once, after ``bin_frames``."""
+        return self.frames() if callable(self.frames) else self.frames
+
     def with_(self, **changes) -> SparseDataset:
+        if "frames_per_scan" in changes:
+            changes["frames"] = changes.pop("frames_per_scan")
         return replace(self, **changes)
 
     def reshape(self, *shape) -> SparseDataset:
@@ -73,10 +87,22 @@ class SparseDataset:
     def ravel_scans(self) -> SparseDataset:
         return self.reshape(self.num_scans, *self.frame_shape)
 
-    def __getitem__(self, key) -> SparseDataset:
+    @property
+    def scan_positions(self) -> DataFrame:
+        """scan_pos of every position and its place on the scan axes; no hits are read."""
+        keys = self.events.sparkSession.range(self.num_scans).select(F.col("id").cast("int").alias("scan_pos"))
+        if len(self.scan_shape) == 1:
+            return keys
+        cols = self.scan_shape[1]
+        return keys.select("scan_pos", row_of(F.col("scan_pos"), cols).alias("scan_row"), col_of(F.col("scan_pos"), cols).alias("scan_col"))
+
+    def __getitem__(self, key) -> SparseDataset | DataFrame:
+        """What numpy would select: as a dataset, or densely (scan_pos, px, value) without
+        ``sparse_slicing``, which is denied for selections of whole frames of every position."""
         from .operators.indexing import take
 
-        return take(self, key)
+        own = take(self, key)
+        return own if self.sparse_slicing else own.densify(force=own.num_scans < self.num_scans or own.num_pixels < self.num_pixels)
 
     def sum(self, axis=None) -> DataFrame:
         from .operators.reductions import reduce_axes
@@ -118,7 +144,7 @@ class SparseDataset:
             raise FullExpansionDenied(f"{self.num_scans * self.num_pixels} cells; select fewer or set allow_full_expand")
         n = self.num_pixels
         grid = self.events.sparkSession.range(self.num_scans * n).select(
-            F.floor(F.col("id") / n).cast("int").alias("scan_pos"), (F.col("id") % n).cast("int").alias("px")
+            whole(F.col("id"), n).cast("int").alias("scan_pos"), (F.col("id") % n).cast("int").alias("px")
         )
         return grid.join(self.cells(), ["scan_pos", "px"], "left").select("scan_pos", "px", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
@@ -132,6 +158,11 @@ class DenseDataset:
     scan_shape: Shape
     frame_shape: Shape
 
+    @property
+    def frame_keys(self) -> list[str]:
+        """The columns that tell frames apart."""
+        return ["scan_pos", "frame_idx"] if "frame_idx" in self.pixels.columns else ["scan_pos"]
+
     @property
     def num_scans(self) -> int:
         return math.prod(self.scan_shape)

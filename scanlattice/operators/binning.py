@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pixels import col_of, flat_of, row_of
+from ..functions.pixels import col_of, flat_of, row_of, whole
 from ..model import SparseDataset
 
 
@@ -17,7 +19,7 @@ def bin_scans(ds: SparseDataset, factor: int) -> SparseDataset:
     r, c = row_of(F.col("scan_pos"), cols), col_of(F.col("scan_pos"), cols)
     inside = (r % factor) * factor + c % factor
     events = ds.events.select(
-        flat_of(F.floor(r / factor), F.floor(c / factor), cols // factor).alias("scan_pos"),
+        flat_of(whole(r, factor), whole(c, factor), cols // factor).alias("scan_pos"),
         (inside * ds.frames_per_scan + F.col("frame_idx")).cast("int").alias("frame_idx"),
         "px",
     )
@@ -27,8 +29,10 @@ def bin_scans(ds: SparseDataset, factor: int) -> SparseDataset:
 def _unique_per_frame(events: DataFrame, frames: int) -> DataFrame:
     """Repeats of a pixel in a frame move to extra frames of their position.
 
-    Extra frames follow the own ones, ordered by the frame and the copy they hold.
+    Extra frames follow the own ones, ordered by the frame and the copy they hold.  Both windows
+    work on one exchange by position.
     """
+    events = events.repartition("scan_pos")
     copy = F.row_number().over(Window.partitionBy("scan_pos", "frame_idx", "px").orderBy("px")) - 1
     copied = events.withColumn("copy", copy)
     extra = F.dense_rank().over(Window.partitionBy("scan_pos", F.col("copy") > 0).orderBy("frame_idx", "copy")) - 1 + frames
@@ -36,14 +40,19 @@ def _unique_per_frame(events: DataFrame, frames: int) -> DataFrame:
 
 
 def bin_frames(ds: SparseDataset, factor: int) -> SparseDataset:
-    """factor x factor pixels become one.  ``frames_per_scan`` counts the extra frames."""
+    """factor x factor pixels become one.  ``frames_per_scan`` counts the extra frames, once it is
+    asked for."""
     if len(ds.frame_shape) != 2 or any(n % factor for n in ds.frame_shape):
         raise ValueError(f"frame shape {ds.frame_shape} is not divisible by {factor}")
     w = ds.width
-    px = flat_of(F.floor(row_of(F.col("px"), w) / factor), F.floor(col_of(F.col("px"), w) / factor), w // factor)
+    px = flat_of(whole(row_of(F.col("px"), w), factor), whole(col_of(F.col("px"), w), factor), w // factor)
     events = _unique_per_frame(ds.events.withColumn("px", px), ds.frames_per_scan)
-    most = events.agg(F.max("frame_idx")).first()[0] if factor > 1 else None
-    frames = max(ds.frames_per_scan, (most if most is not None else -1) + 1)
+
+    @functools.cache
+    def frames() -> int:
+        most = events.agg(F.max("frame_idx")).first()[0]
+        return max(ds.frames_per_scan, (most if most is not None else -1) + 1)
+
     return ds.with_(events=events, frame_shape=(ds.frame_shape[0] // factor, w // factor), frames_per_scan=frames)
 
 

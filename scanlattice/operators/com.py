@@ -90,7 +90,7 @@ def _on_image(df: DataFrame, run, schema: str) -> DataFrame:
         if parts and sum(map(len, parts)):
             yield run(pd.concat(parts))
 
-    return df.coalesce(1).mapInPandas(every, schema)
+    return df.repartition(1).mapInPandas(every, schema)  # coalesce would drag what computes it into the one task
 
 
 def repair_outliers(com: DataFrame, shape: tuple[int, int], low: float, high: float) -> DataFrame:

@@ -42,13 +42,21 @@ def stem_images(ds: SparseDataset, inner, outer, center=None, weight: int = MASK
 
 
 def stem_images_dense(ds: DenseDataset, inner, outer, center=None) -> DataFrame:
-    """image_idx, scan_pos, value: the sum of the pixels inside each annulus."""
+    """image_idx, scan_pos, value: the sum of the pixels inside each annulus.
+
+    Of several frames of a position the last one counts; positions without a frame are zero,
+    if the dataset knows how many there are.
+    """
     radii, c = _radii(inner, outer), center_of(ds.frame_shape, center)
-    sums = [F.sum(F.when(in_annulus(F.col("px"), ds.width, c, i, o), F.col("value")).otherwise(0)).cast("long").alias(f"v{k}") for k, (i, o) in enumerate(radii)]
-    return _stacked(ds.pixels.groupBy("scan_pos").agg(*sums), len(radii))
+    names = [f"v{k}" for k in range(len(radii))]
+    sums = [F.sum(F.when(in_annulus(F.col("px"), ds.width, c, i, o), F.col("value")).otherwise(0)).cast("long").alias(v) for v, (i, o) in zip(names, radii)]
+    found = ds.pixels.groupBy(*ds.frame_keys).agg(*sums)
+    if "frame_idx" in ds.frame_keys:
+        found = found.groupBy("scan_pos").agg(*(F.max_by(v, "frame_idx").alias(v) for v in names))
+    return _stacked(spine(found, ds.num_scans, "scan_pos", dict.fromkeys(names, 0)) if ds.num_scans else found, len(radii))
 
 
-def stem_histogram(images: DataFrame, bins: int, n_images: int) -> DataFrame:
+def stem_histogram(images: DataFrame, bins: int) -> DataFrame:
     """image_idx, bin, lower, count: equal bins from the least to the greatest value.
 
     Bins hold their lower edge, the last one both; a constant image is all in the last bin.

@@ -1,8 +1,8 @@
 """Indexing of sparse datasets by the rules of numpy, as filters and small map joins.
 
 A key is resolved against the scan shape and the frame shape apart.  Ints and slices become
-arithmetic on the flat key, which the scan can evaluate per row; integer arrays and masks
-become a map (old key, new key) that is joined, so repeated indices fan out.  The map has
+a range of the flat key, which Parquet prunes files and row groups by, and arithmetic on it
+for what the range doesn't say; integer arrays and masks become a map (old key, new key) that is joined, so repeated indices fan out.  The map has
 one row per selected index; Spark broadcasts it only below its own size threshold.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import col_of, row_of
+from ..functions.pixels import col_of, row_of, whole
 from ..model import SparseDataset
 
 
@@ -66,20 +66,29 @@ def _select(df: DataFrame, column: str, shape: tuple[int, ...], parts: list) ->
     if len(parts) == len(shape) and not any(isinstance(p, np.ndarray) for p in parts):
         key, new, out, width = F.col(column), F.lit(0), [], shape[-1]
         coordinates = [key] if len(shape) == 1 else [row_of(key, width), col_of(key, width)]
+        low = high = 0
         for c, n, p in zip(coordinates, shape, parts):
             if isinstance(p, slice):
                 own = range(*p.indices(n))
+                out.append(len(own))
                 if not len(own):
-                    df, out = df.where(F.lit(False)), [*out, 0]
+                    df = df.where(F.lit(False))
                     continue
                 lo, hi = min(own[0], own[-1]), max(own[0], own[-1])
-                df = df.where((c >= lo) & (c <= hi) & (((c - own.start) % own.step) == 0))
-                new = new * F.lit(len(own)) + ((c - own.start) / own.step).cast("int")
-                out.append(len(own))
+                if len(own) < n:
+                    df = df.where((c >= lo) & (c <= hi) & (((c - own.start) % own.step) == 0))
+                new = new * F.lit(len(own)) + whole(c - own.start, own.step)
             else:
                 if not -n <= p < n:
                     raise IndexError(f"index {p} is out of bounds for axis of {n}")
-                df = df.where(c == p % n)
+                lo = hi = p % n
+                if n > 1:
+                    df = df.where(c == lo)
+            low, high = low * n + lo, high * n + hi
+        if 0 in out:
+            return df.withColumn(column, new.cast("int")), tuple(out)
+        # What the scan can read off its statistics: the first and the last flat key.
+        df = df.where(key == low) if low == high else df.where((key >= low) & (key <= high))
         return df.withColumn(column, new.cast("int")), tuple(out)
     old = np.arange(math.prod(shape), dtype=np.int64).reshape(shape)
     old = old[tuple(parts)]  # checks bounds and mask shapes as numpy does

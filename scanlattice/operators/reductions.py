@@ -14,7 +14,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pixels import whole
 from ..model import SparseDataset
+from ..model import spine as filled
 
 NAMES = ("scan_row", "scan_col", "frame_row", "frame_col")
 
@@ -40,7 +42,7 @@ def _unravel(flat: Column, shape: tuple[int, ...]) -> list[Column]:
     out, step = [], math.prod(shape)
     for n in shape:
         step //= n
-        out.append((F.floor(flat / F.lit(step)) % F.lit(n)).cast("int"))
+        out.append((whole(flat, step) % F.lit(n)).cast("int"))
     return out
 
 
@@ -99,6 +101,12 @@ def global_stats(ds: SparseDataset) -> DataFrame:
     )
 
 
+def sum_sparse(ds: SparseDataset) -> DataFrame:
+    """px, value: hits per pixel over all positions and frames, in one combined aggregation."""
+    found = ds.events.groupBy("px").agg(F.count(F.lit(1)).alias("value"))
+    return filled(found, ds.num_pixels, "px", {"value": 0})
+
+
 def dose(ds: SparseDataset) -> DataFrame:
     """Mean number of hits per diffraction frame."""
     return ds.events.agg((F.count(F.lit(1)) / F.lit(float(ds.num_scans * ds.frames_per_scan))).alias("dose"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import pixels as pixel_functions
 from .functions.pixels import col_of, row_of
-from .model import DenseDataset, SparseDataset, spine
+from .model import DenseDataset, SparseDataset
 from .operators import binning, com, counting, detectors, indexing, reductions
 from .plans import registry
 from .sources import raw, tables
@@ -49,6 +49,13 @@ def dense(spark: SparkSession, sf_dir: str) -> DenseDataset:
     return DenseDataset(pixels, (0,), DENSE_FRAME)
 
 
+def dense_pairs(spark: SparkSession, sf_dir: str) -> DenseDataset:
+    """``dense`` with two frames a position."""
+    own = dense(spark, sf_dir).pixels
+    pixels = own.select((F.col("scan_pos") - F.col("scan_pos") % 2).alias("p"), (F.col("scan_pos") % 2).alias("frame_idx"), "px", "value")
+    return DenseDataset(pixels.select((F.col("p") / 2).cast("int").alias("scan_pos"), "frame_idx", "px", "value"), (1100,), DENSE_FRAME)
+
+
 def dark_and_gain(spark: SparkSession) -> DataFrame:
     """64 rows: one per pixel of a frame."""
     return spark.range(64).select(F.col("id").cast("int").alias("px"), (F.col("id") % 7).cast("int").alias("dark"), (1 + (F.col("id") % 5) / 10.0).cast("double").alias("gain"))
@@ -142,8 +149,7 @@ def dose(s, d):
 
 @_add("SELECT px, CAST(count(c.px) AS BIGINT) AS value FROM pxs LEFT JOIN counted c USING (px) GROUP BY px", _c(_PXS))
 def sum_sparse(s, d):
-    ds = counted(s, d)
-    return spine(ds.events.groupBy("px").agg(F.count(F.lit(1)).alias("value")), ds.num_pixels, "px", {"value": 0})
+    return reductions.sum_sparse(counted(s, d))
 
 
 @_add("SELECT scan_pos, frame_idx, px FROM counted UNION ALL SELECT scan_pos, frame_idx + 2 AS frame_idx, px FROM counted WHERE px % 2 = 0", _c())
@@ -208,8 +214,7 @@ def to_dense(s, d):
 @_add("SELECT count(*) AS value FROM counted WHERE scan_pos = 5 AND px = (SELECT min(px) FROM counted WHERE scan_pos = 5)", _c())
 def pixel_lookup(s, d):
     ds = counted(s, d)
-    least = ds.events.where("scan_pos = 5").agg(F.min("px").alias("px"))
-    return ds.events.where("scan_pos = 5").join(F.broadcast(least), "px", "left_semi").agg(F.count(F.lit(1)).alias("value"))  # one row
+    return indexing.pixel(ds, 5, ds.events.where("scan_pos = 5").agg(F.min("px")).first()[0])
 
 
 @_add("SELECT scan_pos, frame_idx, px FROM counted WHERE scan_pos BETWEEN 64 AND 127", _c())
@@ -324,6 +329,11 @@ def stem_dense(s, d):
     return detectors.stem_images_dense(dense(s, d), 1, 3)
 
 
+@_add(f"SELECT CAST(0 AS INTEGER) AS image_idx, CAST(range AS INTEGER) AS scan_pos, CAST(coalesce(sum(value), 0) AS BIGINT) AS value FROM range(1100) LEFT JOIN (SELECT scan_pos // 2 AS p, value FROM pixels JOIN (SELECT max(scan_pos) AS scan_pos FROM pixels GROUP BY scan_pos // 2) USING (scan_pos) WHERE {_D2_8} >= 1 AND {_D2_8} < 9) ON p = range GROUP BY range", _PIXELS)
+def stem_dense_last_frame(s, d):
+    return detectors.stem_images_dense(dense_pairs(s, d), 1, 3)
+
+
 @_add("SELECT px, round(CAST(sum(value) AS BIGINT) / count(*)::DOUBLE, 6) AS value FROM pixels GROUP BY px", _PIXELS)
 def average_frame(s, d):
     return _ROUND(detectors.average_frame(dense(s, d)), "value")
@@ -363,7 +373,7 @@ def radial_band(s, d):
     _c(_SCANS, f"v AS (SELECT scan_pos, count(c.px) * 65535 AS value FROM scans LEFT JOIN (SELECT * FROM counted WHERE {_D2} < 256) c USING (scan_pos) GROUP BY scan_pos)", "e AS (SELECT CAST(min(value) AS DOUBLE) AS lo, CAST(max(value) AS DOUBLE) AS hi, (CAST(max(value) AS DOUBLE) - CAST(min(value) AS DOUBLE)) / 10 AS step FROM v)"),
 )
 def stem_histogram(s, d):
-    return detectors.stem_histogram(detectors.stem_images(counted(s, d), 0, 16), 10, 1)
+    return detectors.stem_histogram(detectors.stem_images(counted(s, d), 0, 16), 10)
 
 
 @_add("SELECT scan_pos, CAST(coalesce(sum(CAST((px % 64 - 20) * (px % 64 - 20) + (px // 64 - 30) * (px // 64 - 30) < 36 AS INTEGER) + CAST((px % 64 - 40) * (px % 64 - 40) + (px // 64 - 34) * (px // 64 - 34) < 100 AS INTEGER)), 0) AS BIGINT) AS value FROM scans LEFT JOIN counted USING (scan_pos) GROUP BY scan_pos", _c(_SCANS))
@@ -509,6 +519,21 @@ def row_dark_median(s, d):
     return _ROUND(counting.row_dark(dense(s, d).pixels, 8, 999.5, use_mean=False), "value")
 
 
+_STAT = "st AS (SELECT scan_pos, px // 8 AS r, px % 8 >= 4 AS h, avg(value) AS st FROM pixels GROUP BY ALL)"
+_DARKENED = "darkened AS (SELECT pixels.scan_pos, px, ((value - dark) % 65536 + 65536) % 65536 AS v, st FROM pixels JOIN dark USING (px) JOIN st ON st.scan_pos = pixels.scan_pos AND r = px // 8 AND h = (px % 8 >= 4))"
+
+
+@_add("SELECT scan_pos, px, round(v * 999.5::DOUBLE / st, 6) AS value FROM darkened", f"{_PIXELS}, {_DARK}, {_STAT}, {_DARKENED}")
+def row_dark_with_dark(s, d):
+    return _ROUND(counting.row_dark(dense(s, d).pixels, 8, 999.5, dark=dark_and_gain(s)), "value")
+
+
+@_add("SELECT scan_pos, px, round((value - dark) / gain * 999.5::DOUBLE / st, 6) AS value FROM pixels JOIN dark USING (px) JOIN st USING (scan_pos) WHERE r = px // 8 AND h = (px % 8 >= 4)", f"{_PIXELS}, {_DARK}, {_STAT}")
+def row_dark_with_gain(s, d):
+    dark = dark_and_gain(s)
+    return _ROUND(counting.row_dark(dense(s, d).pixels, 8, 999.5, dark=dark, gain=dark), "value")
+
+
 _CUT = "cut AS (SELECT scan_pos, px, CASE WHEN value > 1150 AND value < 1450 THEN value ELSE 0 END AS value FROM pixels)"
 
 
@@ -522,6 +547,21 @@ def electron_count_fixed(s, d):
     return counting.electron_count(dense(s, d), counting.Thresholds(1150, 1450)).events
 
 
+_SCALED = "cut AS (SELECT scan_pos, px, CASE WHEN v > 1010 AND v < 1450 THEN v ELSE 0 END AS value FROM (SELECT pixels.scan_pos, px, floor((value - dark) * 1000.0::DOUBLE / st) AS v FROM pixels JOIN dark USING (px) JOIN st ON st.scan_pos = pixels.scan_pos AND r = px // 8 AND h = (px % 8 >= 4)))"
+
+
+@_add(f"SELECT scan_pos, CAST(0 AS INTEGER) AS frame_idx, px FROM cut a WHERE value > 0 AND NOT EXISTS (SELECT 1 FROM cut n WHERE {_NEAR} AND n.value >= a.value)", f"{_PIXELS.replace('pixels AS (SELECT', 'every AS (SELECT')}, pixels AS (SELECT * REPLACE (value + 10 AS value) FROM every), {_DARK}, {_STAT}, {_SCALED}")
+def electron_count_row_dark(s, d):
+    ds = dense(s, d)
+    ds = DenseDataset(ds.pixels.withColumn("value", F.col("value") + 10), ds.scan_shape, ds.frame_shape)
+    return counting.electron_count(ds, counting.Thresholds(1010, 1450, optimized_mean=1000.0), dark_and_gain(s), apply_row_dark=True).events
+
+
+@_add(f"SELECT CAST(scan_pos // 2 AS INTEGER) AS scan_pos, CAST(scan_pos % 2 AS INTEGER) AS frame_idx, px FROM cut a WHERE value > 0 AND NOT EXISTS (SELECT 1 FROM cut n WHERE {_NEAR} AND n.value >= a.value)", f"{_PIXELS}, {_CUT}")
+def electron_count_frames_apart(s, d):
+    return counting.electron_count(dense_pairs(s, d), counting.Thresholds(1150, 1450)).events
+
+
 def _stored(s, d):
     """The dense frames as binary rows."""
     own = dense(s, d).pixels.groupBy("scan_pos").agg(F.sort_array(F.collect_list(F.struct("px", "value"))).alias("p"))
@@ -535,6 +575,12 @@ def electron_count_kernel(s, d):
     return counting.number_frames(counting.count_frames(_stored(s, d), counting.Thresholds(1150, 1450)))
 
 
+@_add(f"SELECT CAST(scan_pos // 2 AS INTEGER) AS scan_pos, CAST(scan_pos % 2 AS INTEGER) AS frame_idx, px FROM cut a WHERE value > 0 AND NOT EXISTS (SELECT 1 FROM cut n WHERE {_NEAR} AND n.value >= a.value)", f"{_PIXELS}, {_CUT}")
+def electron_count_raw(s, d):
+    frames = _stored(s, d).withColumn("scan_pos", (F.col("frame_num") / 2).cast("int"))
+    return counting.electron_count_frames(frames, limits=counting.Thresholds(1150, 1450), scan_shape=(1000, 1)).events
+
+
 @_add()
 def gaussian_threshold(s, d):
     t = counting.thresholds(counting.sample_frames(dense(s, d).pixels, 40))

@@ -1,21 +1,25 @@
 """Raw detector files as ``frames``: one row per image.
 
 scan_num, frame_num, scan_pos, scan_w, scan_h, frame_h, frame_w, complete, data (BINARY,
-little-endian unsigned 16-bit).  Formats 3 to 5 are fixed-length records, so files are split
-at record boundaries and read by many tasks; formats 1 and 2 are decoded file by file.
-Sectors of formats 4 and 5 meet in one aggregation by frame.
+little-endian unsigned 16-bit).  Files are listed by Spark and read by range where the rows
+are made.  Formats 3 to 5 are fixed-length records, so files are split at record boundaries;
+formats 1 and 2 are read block by block, a file a task.  Headers can be read without the pixel
+data, with the place of every record, and single records by their place.  Sectors of formats 4
+and 5 meet in one aggregation by frame.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.pixels import whole
 
 #: Fixed values of the detector and its file formats.
 FRAME = (576, 576)
@@ -27,6 +31,9 @@ RECORD_HEADER = np.dtype([("scan", "<u4"), ("frame", "<u4"), ("scan_w", "<u2"),
 
 _FRAMES = "scan_num long, frame_num long, scan_pos int, scan_w int, scan_h int, frame_h int, frame_w int, complete boolean, data binary"
 _HEADERS = "scan_num long, frame_num long, scan_pos int, scan_w int, scan_h int"
+_PLACE = "path string, offset long, "
+#: Bytes of a file that a task reads, of pixel data in a batch, and the most tasks.
+SPLIT, BATCH, MOST_SPLITS = 128 << 20, 16 << 20, 100_000
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
@@ -36,116 +43,164 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
     return out
 
 
-def _records(spark: SparkSession, path: str, length: int) -> DataFrame:
-    """One column, ``record``: the file's fixed-length records."""
-    records = spark.sparkContext.binaryRecords(path, length)
-    return spark.createDataFrame(records.map(lambda r: (bytearray(r),)), T.StructType([T.StructField("record", T.BinaryType())]))
+def _files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """path, length: as Spark lists them; no content is read."""
+    return spark.read.format("binaryFile").load(_paths(paths)).select("path", "length")
 
 
-def _decode_records(frame_h: int, frame_w: int, with_data: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(0).to_pylist()
-            head = np.frombuffer(b"".join(r[: RECORD_HEADER.itemsize] for r in raw), RECORD_HEADER)
-            out = {
-                "scan_num": pa.array(head["scan"].astype("i8")),
-                "frame_num": pa.array(head["frame"].astype("i8")),
-                "scan_pos": pa.array((head["y"].astype("i4") * head["scan_w"] + head["x"]).astype("i4")),
-                "scan_w": pa.array(head["scan_w"].astype("i4")),
-                "scan_h": pa.array(head["scan_h"].astype("i4")),
-            }
-            if with_data:
-                n = len(raw)
-                out |= {"frame_h": pa.array([frame_h] * n, pa.int32()), "frame_w": pa.array([frame_w] * n, pa.int32()), "complete": pa.array([True] * n), "data": pa.array([r[RECORD_HEADER.itemsize :] for r in raw], pa.binary())}
-            yield pa.RecordBatch.from_pydict(out)
+def _open(path: str):
+    """A file for reading by range, in any store that the path names."""
+    if path.startswith("file:"):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    return store.open_input_file(at)
+
+
+def _exactly(file, n: int) -> bytes:
+    got = file.read(n)
+    if len(got) < n:
+        raise ValueError("Unexpected EOF")
+    return got
 
-    return run
 
+def _heads(raw: list[bytes]) -> dict[str, pa.Array]:
+    head = np.frombuffer(b"".join(raw), RECORD_HEADER)
+    return {
+        "scan_num": pa.array(head["scan"].astype("i8")),
+        "frame_num": pa.array(head["frame"].astype("i8")),
+        "scan_pos": pa.array((head["y"].astype("i4") * head["scan_w"] + head["x"]).astype("i4")),
+        "scan_w": pa.array(head["scan_w"].astype("i4")),
+        "scan_h": pa.array(head["scan_h"].astype("i4")),
+    }
 
-def _decode_blocks(version: int, frame: tuple[int, int]):
-    """Formats 1 and 2, whole files: (path, content) rows to frames."""
 
-    def blocks(content: bytes) -> Iterator[tuple]:
+def _records(spark: SparkSession, paths: str | Sequence[str], pixels: int, with_data: bool, split_bytes: int = SPLIT) -> DataFrame:
+    """path, offset, the header's fields and, if asked for, data of every record of the files."""
+    length = RECORD_HEADER.itemsize + 2 * pixels
+    each = max(1, split_bytes // length)
+    files = _files(spark, paths)
+    splits = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), whole(F.greatest(F.col("length") - 1, F.lit(0)), each * length))).alias("k"))
+    n = files.agg(F.sum(whole(F.col("length"), each * length) + 1)).first()[0] or 1
+    splits = splits.select("path", "length", (F.col("k") * each * length).alias("start")).repartition(int(min(n, MOST_SPLITS)))
+    batch_rows = max(1, min(256, BATCH // length)) if with_data else 4096
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
+                if size % length:
+                    raise ValueError(f"Unexpected EOF: {path} ends inside a record")
+                with _open(path) as file:
+                    end = min(size, start + each * length)
+                    for at in range(start, end, batch_rows * length):
+                        offsets = range(at, min(end, at + batch_rows * length), length)
+                        heads, data = [], []
+                        for offset in offsets:
+                            file.seek(offset)
+                            heads.append(_exactly(file, RECORD_HEADER.itemsize))
+                            if with_data:
+                                data.append(_exactly(file, 2 * pixels))
+                        out = {"path": pa.array([path] * len(offsets)), "offset": pa.array(offsets, pa.int64()), **_heads(heads)}
+                        yield pa.RecordBatch.from_pydict(out | ({"data": pa.array(data, pa.binary())} if with_data else {}))
+
+    return splits.mapInArrow(run, _PLACE + _HEADERS + ", data binary" * with_data)
+
+
+def _blocks(version: int, frame: tuple[int, int]):
+    """Formats 1 and 2: paths to frames, a few at a time."""
+
+    def images(file, size: int) -> Iterator[tuple]:
         at = 0
-        while at < len(content):
+        while at < size:
             if version == 1:
-                head = np.frombuffer(content, "<u4", min(V1_HEADER_WORDS, (len(content) - at) // 4), at)
-                if len(head) < V1_HEADER_WORDS:
-                    raise ValueError("Unexpected EOF")
+                head = np.frombuffer(_exactly(file, 4 * V1_HEADER_WORDS), "<u4")
                 n, h, w = (int(x) for x in head[:3])
                 numbers, at = head[10 : 10 + n].astype("i8") - 1, at + 4 * V1_HEADER_WORDS
             else:
-                if len(content) - at < 4:
-                    raise ValueError("Unexpected EOF")
+                _exactly(file, 4)  # the file's first number is not used
                 n, (h, w), at = V2_IMAGES, frame, at + 4
-                numbers = np.arange(n)  # the file's first number is not used
-            size = 2 * h * w
-            if len(content) - at < n * size:
-                raise ValueError("Unexpected EOF")
+                numbers = np.arange(n)
             for i in range(n):
-                yield 0, i, int(numbers[i]), 0, 0, h, w, True, content[at + i * size : at + (i + 1) * size]
-            at += n * size
+                yield 0, i, int(numbers[i]), 0, 0, h, w, True, _exactly(file, 2 * h * w)
+            at += n * 2 * h * w
 
     names = [f.split()[0] for f in _FRAMES.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for row in blocks(content.as_py()):
-                    rows.append(row)
-                    if len(rows) == 32:
+            for path, size in zip(*(c.to_pylist() for c in batch.columns)):
+                with _open(path) as file:
+                    every = images(file, size)
+                    while rows := list(itertools.islice(every, 16)):
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return run
 
 
 def read_blocks(spark: SparkSession, paths: str | Sequence[str], version: int, frame: tuple[int, int] = FRAME) -> DataFrame:
     """Formats 1 and 2."""
-    files = spark.read.format("binaryFile").load(_paths(paths)).select("content")
-    return files.mapInArrow(_decode_blocks(version, frame), _FRAMES)
+    files = _files(spark, paths)
+    return files.repartition(max(1, min(files.count(), MOST_SPLITS))).mapInArrow(_blocks(version, frame), _FRAMES)
 
 
 def read_frames_v3(spark: SparkSession, paths: str | Sequence[str], frame: tuple[int, int] = FRAME) -> DataFrame:
     """Format 3: whole frames with their position."""
-    parts = [_records(spark, p, RECORD_HEADER.itemsize + 2 * frame[0] * frame[1]).mapInArrow(_decode_records(*frame, True), _FRAMES) for p in _paths(paths)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    h, w = frame
+    found = _records(spark, paths, h * w, True)
+    return found.select("scan_num", "frame_num", "scan_pos", "scan_w", "scan_h", F.lit(h).alias("frame_h"), F.lit(w).alias("frame_w"), F.lit(True).alias("complete"), "data")
 
 
 def sector_of(path: str) -> int:
-    """The number in a file name's ``module<number>``; -1 without."""
+    """The number in a file name's ``module<number>``."""
     found = re.search(r"module(\d+)", path.rsplit("/", 1)[-1])
-    return int(found[1]) if found else -1
+    if not found:
+        raise ValueError(f"no module<number> in the file name {path}")
+    return int(found[1])
 
 
-def read_sectors(spark: SparkSession, paths: Sequence[str], version: int = 5, shape: tuple[int, int] | None = None) -> DataFrame:
+def _sector() -> Column:
+    number = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"module(\d+)", 1)
+    return F.when(number == "", F.raise_error(F.concat(F.lit("no module<number> in the file name "), "path"))).otherwise(number).cast("int")
+
+
+def read_sectors(spark: SparkSession, paths: str | Sequence[str], version: int = 5, shape: tuple[int, int] | None = None) -> DataFrame:
     """Formats 4 and 5: scan_num, frame_num, scan_pos, scan_w, scan_h, sector, data."""
     h, w = shape or SECTOR_SHAPE[version]
-    parts = [
-        _records(spark, p, RECORD_HEADER.itemsize + 2 * h * w).mapInArrow(_decode_records(h, w, True), _FRAMES).select("scan_num", "frame_num", "scan_pos", "scan_w", "scan_h", F.lit(sector_of(p)).alias("sector"), "data")
-        for p in _paths(paths)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _records(spark, paths, h * w, True).select("scan_num", "frame_num", "scan_pos", "scan_w", "scan_h", _sector().alias("sector"), "data")
 
 
-def read_headers(spark: SparkSession, paths: Sequence[str], version: int = 5, shape: tuple[int, int] | None = None) -> DataFrame:
-    """The index of sectors: headers only, pixel data never leaves the reading task."""
+def read_headers(spark: SparkSession, paths: str | Sequence[str], version: int = 5, shape: tuple[int, int] | None = None) -> DataFrame:
+    """The index of sectors: scan_num, frame_num, scan_pos, scan_w, scan_h, sector, path, offset.
+
+    Only headers are read.  Write it to look up (scan_pos, frame_num) without a pass over the
+    files, and hand what is found to ``read_indexed``.
+    """
     h, w = shape or SECTOR_SHAPE[version]
-    parts = [_records(spark, p, RECORD_HEADER.itemsize + 2 * h * w).mapInArrow(_decode_records(h, w, False), _HEADERS).withColumn("sector", F.lit(sector_of(p))) for p in _paths(paths)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _records(spark, paths, h * w, False).select("scan_num", "frame_num", "scan_pos", "scan_w", "scan_h", _sector().alias("sector"), "path", "offset")
+
+
+def read_indexed(index: DataFrame, version: int = 5, shape: tuple[int, int] | None = None) -> DataFrame:
+    """The sectors of some rows of ``read_headers``: only their bytes are read."""
+    h, w = shape or SECTOR_SHAPE[version]
+    fields = ["scan_num", "frame_num", "scan_pos", "scan_w", "scan_h", "sector"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part, data = batch.slice(start, 64), []
+                order = sorted(zip(part.column("path").to_pylist(), part.column("offset").to_pylist(), range(part.num_rows)))
+                for path, own in itertools.groupby(order, lambda x: x[0]):
+                    with _open(path) as file:
+                        for _, offset, row in own:
+                            file.seek(offset + RECORD_HEADER.itemsize)
+                            data.append((row, _exactly(file, 2 * h * w)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in fields), pa.array([d for _, d in sorted(data)], pa.binary())], names=[*fields, "data"])
+
+    return index.select(*fields, "path", "offset").mapInArrow(run, _HEADERS + ", sector int, data binary")
 
 
 def stitch_sector(i, sector, version: int, sector_shape: tuple[int, int]):
@@ -153,20 +208,20 @@ def stitch_sector(i, sector, version: int, sector_shape: tuple[int, int]):
     one below the other in format 5."""
     h, w = sector_shape
     if version == 4:
-        return (F.floor(i / F.lit(w)) * F.lit(w * SECTORS) + sector * F.lit(w) + i % F.lit(w)).cast("int")
+        return (whole(i, w) * F.lit(w * SECTORS) + sector * F.lit(w) + i % F.lit(w)).cast("int")
     return (sector * F.lit(h * w) + i).cast("int")
 
 
 def assemble(sectors: DataFrame, version: int = 5, shape: tuple[int, int] | None = None, partial: bool = True) -> DataFrame:
     """``frames`` from sectors, keyed by frame number; missing sectors are zero.
 
-    ``partial``: whether frames with fewer than four sectors are kept (complete = false).
+    One exchange: a frame's sectors are gathered, four at most but for repeats.  ``partial``: whether frames with fewer than four sectors are kept (complete = false).
     """
     h, w = shape or SECTOR_SHAPE[version]
     frame = (h, w * SECTORS) if version == 4 else (h * SECTORS, w)
     grouped = sectors.groupBy("scan_num", "frame_num").agg(
-        F.first("scan_pos").alias("scan_pos"), F.first("scan_w").alias("scan_w"), F.first("scan_h").alias("scan_h"), F.collect_list(F.struct("sector", "data")).alias("parts"), F.countDistinct("sector").alias("n")
-    )
+        F.first("scan_pos").alias("scan_pos"), F.first("scan_w").alias("scan_w"), F.first("scan_h").alias("scan_h"), F.collect_list(F.struct("sector", "data")).alias("parts")
+    ).withColumn("n", F.size(F.array_distinct(F.transform("parts", lambda p: p["sector"]))))
     if not partial:
         grouped = grouped.where(F.col("n") == SECTORS)
 
@@ -210,6 +265,25 @@ def reader(spark: SparkSession, paths: str | Sequence[str], version: int = 1, ba
     raise ValueError(f"unknown version: {version}")
 
 
+def blocks(frames: DataFrame, size: int = 32) -> Iterator[tuple[list, np.ndarray]]:
+    """Blocks of at most ``size`` frames for a loop on the driver: (rows without data, array of
+    (n, h, w)).  One partition is held at a time; calling it again starts over."""
+    rows: list = []
+
+    def block() -> tuple[list, np.ndarray]:
+        shape = (len(rows), rows[0].frame_h, rows[0].frame_w)
+        heads = [{k: v for k, v in r.asDict().items() if k != "data"} for r in rows]
+        return heads, np.frombuffer(b"".join(bytes(r.data) for r in rows), "<u2").reshape(shape)
+
+    for row in frames.toLocalIterator(prefetchPartitions=False):
+        if rows and (len(rows) == size or (row.frame_h, row.frame_w) != (rows[0].frame_h, rows[0].frame_w)):
+            yield block()
+            rows = []
+        rows.append(row)
+    if rows:
+        yield block()
+
+
 def frames_per_scan(frames: DataFrame) -> DataFrame:
     """One row, ``frames_per_scan``: the most frames of any position."""
     return frames.groupBy("scan_pos").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("frames_per_scan"))

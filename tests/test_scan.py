@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scanlattice.model import DenseDataset, FullExpansionDenied, SparseDataset
 from scanlattice.operators import binning, com, counting, detectors, indexing, reductions
 from scanlattice.plans import registry
-from scanlattice.sources import catalog, raw, tables
+from scanlattice.sources import catalog, hdf5, raw, tables
 from scanlattice.streaming import sectors
 
 SHAPE = (4, 6, 8, 10)  # not square, on purpose
@@ -232,7 +232,7 @@ def test_dense_detectors(spark):
 
 def test_histogram_edges(spark):
     images = spark.createDataFrame([(0, i, v) for i, v in enumerate([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10])] + [(1, 0, 4), (1, 1, 4)], "image_idx int, scan_pos int, value long")
-    got = {(r.image_idx, r.bin): r["count"] for r in detectors.stem_histogram(images, 5, 2).collect()}
+    got = {(r.image_idx, r.bin): r["count"] for r in detectors.stem_histogram(images, 5).collect()}
     assert [got[0, k] for k in range(5)] == [2, 2, 2, 2, 3] and [got[1, k] for k in range(5)] == [0, 0, 0, 0, 2]
 
 
@@ -414,3 +414,176 @@ def test_lossless_cast(spark):
     for bad, to in ((1.5, "int"), (300.0, "tinyint")):
         with pytest.raises(ValueError):
             lossless_cast(spark.createDataFrame([(bad,)], "v double"), "v", to)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("key,expected", [((slice(1, 3), slice(2, 5)), ["GreaterThanOrEqual(scan_pos,8)", "LessThanOrEqual(scan_pos,16)"]), ((-1,), ["GreaterThanOrEqual(scan_pos,18)", "LessThanOrEqual(scan_pos,23)"]), ((2, 3), ["EqualTo(scan_pos,15)"])], ids=str)
+def test_slices_reach_the_scan(sparse, tmp_path, key, expected):
+    ds, full = sparse
+    ds.events.write.parquet(str(tmp_path / "e"))
+    stored = ds.with_(events=ds.events.sparkSession.read.parquet(str(tmp_path / "e")))
+    plan = plan_of(stored[key].events)
+    pushed = plan[plan.index("PushedFilters") :].split("]")[0]
+    assert all(e in pushed for e in expected), pushed
+    assert (cells(stored[key]) == full[key]).all()
+
+
+def test_dense_slicing_and_positions(sparse):
+    ds, full = sparse
+    dense = ds.with_(sparse_slicing=False)
+    got = {(r.scan_pos, r.px): r.value for r in dense[1:3, 2].collect()}
+    assert [[got[p, x] for x in range(80)] for p in range(2)] == full[1:3, 2].reshape(2, 80).tolist()
+    with pytest.raises(FullExpansionDenied):
+        dense[:]
+    assert [(r.scan_row, r.scan_col) for r in ds.scan_positions.orderBy("scan_pos").collect()] == [divmod(p, 6) for p in range(24)]
+    assert ds.ravel_scans().scan_positions.count() == 24
+
+
+def test_bin_frames_plans_without_a_job(spark, sparse):
+    ds, _ = sparse
+    spark.sparkContext.setJobGroup("lazy", "plans only")
+    got = ds.bin_frames(2)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")) == []
+    assert got.frames_per_scan >= 2
+    spark.sparkContext.setJobGroup("rest", "")
+
+
+def test_row_dark_with_dark_and_gain(spark):
+    a = frames_array()
+    rng = np.random.default_rng(12)
+    dark, gain = rng.integers(0, 90, (8, 12)), rng.uniform(0.8, 1.2, (8, 12))
+    table = spark.createDataFrame([(i, int(d), float(g)) for i, (d, g) in enumerate(zip(dark.ravel(), gain.ravel()))], "px int, dark int, gain double")
+    frames = raw.from_numpy(spark, a, (4, 3))
+    limits = counting.Thresholds(60, 900, optimized_mean=100.0)
+    for use_mean, with_gain in itertools.product((True, False), (True, False)):
+        expected = set()
+        for p, f in enumerate(a.astype(float)):
+            out = np.zeros_like(f)
+            for part in (slice(0, 6), slice(6, 12)):
+                stat = (f[:, part].mean(axis=1) if use_mean else np.median(f[:, part], axis=1))[:, None]
+                own = (f - dark)[:, part] / gain[:, part] if with_gain else (f - dark)[:, part] % 65536
+                out[:, part] = own * 100.0 / stat if with_gain else np.floor(own * 100.0 / stat) % 65536
+            expected |= {(p, x) for x in plain_peaks(out, 60, 900)}
+        own = counting.electron_count(dense_of(spark, a), limits, table, table if with_gain else None, apply_row_dark=True, use_mean=use_mean)
+        kernel = counting.count_frames(frames, limits, dark, gain if with_gain else None, use_mean)
+        assert expected and {(r.scan_pos, r.px) for r in own.events.collect()} == expected
+        assert {(r.scan_pos, r.px) for r in counting.number_frames(kernel).collect()} == expected
+
+
+def test_frames_of_a_position_are_apart(spark):
+    a = frames_array()
+    rows = [(p // 3, p % 3, i, int(v)) for p in range(12) for i, v in enumerate(a[p].ravel())]
+    ds = DenseDataset(spark.createDataFrame(rows, "scan_pos int, frame_idx int, px int, value long"), (5,), (8, 12))
+    limits = counting.Thresholds(150, 400, optimized_mean=100.0)
+    expected = {(p // 3, p % 3, x) for p, f in enumerate(a) for x in plain_peaks(f, 150, 400)}
+    got = counting.electron_count(ds, limits)
+    assert {tuple(r) for r in got.events.collect()} == expected and got.frames_per_scan == 3
+    assert counting.sample_frames(ds.pixels, 5).select("scan_pos", "frame_idx").distinct().count() == 5
+    images = {r.scan_pos: r.value for r in detectors.stem_images_dense(ds, 0, 100).collect()}
+    assert images == {p: int(a[3 * p + 2].sum()) if p < 4 else 0 for p in range(5)}
+    assert counting.row_dark(ds.pixels, 12, 100.0).count() == 12 * 96
+
+
+def test_raw_frames_to_a_counted_dataset(spark, tmp_path):
+    a = frames_array(24, 8, 12)
+    limits = counting.Thresholds(150, 400)
+    data = b"".join(record(1, 100 - i, 4, 3, i // 2, a[i]) for i in range(24))
+    (tmp_path / "v3.data").write_bytes(data)
+    frames = raw.reader(spark, str(tmp_path / "v3.data"), 3, frame=(8, 12))
+    ds = counting.electron_count_frames(frames, limits=limits)
+    assert ds.shape == (3, 4, 8, 12) and ds.frames_per_scan == 2
+    expected = {(i // 2, 1 - i % 2, x) for i, f in enumerate(a) for x in plain_peaks(f, 150, 400)}
+    assert {tuple(r) for r in ds.events.collect()} == expected
+    fitted = counting.electron_count_frames(frames, samples=24).metadata["electron_counting"]
+    values = a.astype(float)
+    assert np.isclose(fitted["mean"], values.mean()) and np.isclose(fitted["std_dev"], values.std(ddof=1)) and (fitted["minimum"], fitted["maximum"]) == (values.min(), values.max())
+    plain = counting.thresholds(dense_of(spark, a).pixels)
+    assert np.isclose(fitted["background"], plain.background) and np.isclose(fitted["xray"], plain.xray)
+    dark = np.full((8, 12), 3)
+    assert np.isclose(counting.thresholds_of_frames(frames, 24, dark).mean, values.mean() - 3)
+    assert np.isclose(counting.thresholds_of_frames(frames, 24, dark, np.full((8, 12), 2.0)).mean, (values.mean() - 3) / 2)
+    with pytest.raises(ValueError):
+        counting.thresholds_of_frames(frames.where("false"))
+    with pytest.raises(ValueError):
+        counting.electron_count_frames(raw.from_numpy(spark, a, (0, 0)), limits=limits)
+
+
+def test_sector_index(spark, tmp_path):
+    a = frames_array(6, 8, 12)
+    paths = []
+    for k in range(4):
+        paths.append(str(tmp_path / f"module{k}.data"))
+        open(paths[-1], "wb").write(b"".join(record(1, i, 3, 1, i // 2, a[i][2 * k : 2 * k + 2]) for i in reversed(range(6))))
+    index = raw.read_headers(spark, paths, 5, (2, 12))
+    size = 16 + 2 * 24
+    assert {(r.frame_num, r.sector, r.offset) for r in index.collect()} == {(i, k, (5 - i) * size) for i in range(6) for k in range(4)}
+    frames = raw.assemble(raw.read_indexed(index.where("scan_pos = 1"), 5, (2, 12)), 5, (2, 12))
+    assert {r.frame_num: bytes(r.data) for r in frames.collect()} == {i: a[i].tobytes() for i in (2, 3)}
+    split = raw._records(spark, paths, 24, True, split_bytes=2 * size)
+    assert split.count() == 24 and split.select("path", "offset").distinct().count() == 24
+    plan = plan_of(raw.assemble(raw.read_sectors(spark, paths, 5, (2, 12)), 5, (2, 12)))
+    assert plan.count("Exchange hashpartitioning") == 1
+    open(paths[0], "ab").write(b"cut")
+    with pytest.raises(Exception, match="Unexpected EOF"):
+        raw.read_sectors(spark, paths, 5, (2, 12)).collect()
+    open(str(tmp_path / "other.data"), "wb").write(record(1, 0, 3, 1, 0, a[0][:2]))
+    with pytest.raises(Exception, match="module<number>"):
+        raw.read_headers(spark, str(tmp_path / "other.data"), 5, (2, 12)).collect()
+
+
+def test_blocks_start_over(spark):
+    a = frames_array(7)
+    frames = raw.from_numpy(spark, a, (7, 1)).orderBy("frame_num")
+    for _ in range(2):
+        got = list(raw.blocks(frames, 3))
+        assert [len(heads) for heads, _ in got] == [3, 3, 1] and (np.concatenate([x for _, x in got]) == a).all()
+        assert got[1][0][0]["scan_pos"] == 3
+    assert list(raw.blocks(frames.where("false"))) == []
+
+
+def test_metadata_holds_arrays(sparse, tmp_path):
+    ds, _ = sparse
+    about = {"a": {"one": np.arange(5), "two": np.ones((2, 3), np.float32)}, "x": np.float64(7.21), "n": [1, {"deep": np.array([True, False])}], "s": "text"}
+    tables.save_counted(ds.with_(metadata=about), str(tmp_path / "c"))
+    back = tables.load_counted(ds.events.sparkSession, str(tmp_path / "c")).metadata
+    assert (back["a"]["one"] == np.arange(5)).all() and back["a"]["one"].dtype == about["a"]["one"].dtype
+    assert back["a"]["two"].dtype == np.float32 and back["a"]["two"].shape == (2, 3) and back["x"] == 7.21
+    assert back["n"][1]["deep"].tolist() == [True, False] and back["s"] == "text"
+    with pytest.raises(TypeError):
+        tables.save_counted(ds.with_(metadata={"a": np.array([object()])}), str(tmp_path / "d"))
+
+
+def test_image_pipelines(spark):
+    a = frames_array(6)
+    bright = registry.pipeline("bright", input="frame", output="image", aggregation="max")(lambda frame: frame.sum())
+    frames = raw.from_numpy(spark, a, (3, 1), [0, 0, 1, 1, 2, 2])
+    got = registry.execute(bright, frames)
+    assert {r.scan_pos: r.value for r in got.collect()} == {p: max(a[2 * p].sum(), a[2 * p + 1].sum()) for p in range(3)}
+    turned = registry.pipeline("turned", input="image", output="image")(lambda image, by=1: image[:, ::-1] * by)
+    got = registry.execute(turned, got, (1, 3), by=2)
+    assert [r.value for r in got.orderBy("scan_pos").collect()] == [2 * max(a[2 * p].sum(), a[2 * p + 1].sum()) for p in (2, 1, 0)]
+    with pytest.raises(ValueError):
+        registry.execute(turned, got)
+    with pytest.raises(ValueError):
+        registry.execute(registry.pipeline("no", input="image", output="frame")(lambda x: x), got, (1, 3))
+
+
+def test_hdf5_says_what_is_missing(spark):
+    try:
+        import h5py  # noqa: F401
+    except ImportError:
+        for read in (hdf5.read_frames, hdf5.read_counted):
+            with pytest.raises(ImportError, match="h5py"):
+                read(spark, "/nowhere.h5")
+
+
+def test_running_pattern(spark, tmp_path):
+    events = spark.createDataFrame([(0, 0, 5), (1, 0, 5), (1, 1, 7)], "scan_pos int, frame_idx int, px int")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    query = sectors.running_pattern(stream).writeStream.format("memory").queryName("pattern").option("checkpointLocation", str(tmp_path / "ck")).outputMode("complete").trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
+    assert {r.px: r.value for r in spark.table("pattern").collect()} == {5: 2, 7: 1}
