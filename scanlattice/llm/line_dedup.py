@@ -95,6 +95,10 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
+def _table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return materialize(parsed(docs, id_col, text_col), "lines", "zstd")  # holds the texts, masked
+
+
 def _own(table: DataFrame, *fields: str) -> DataFrame:
     """A row per different line of a document: doc_id, row and some of what ``parsed`` says of it.
 
@@ -133,10 +137,11 @@ def _recurring(table: DataFrame, min_documents: int, similar: float) -> DataFram
     templates = materialize(lines.groupBy("leaf", "words", "template").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")), "line-templates")
     crowded = templates.where("leaf is not null").groupBy("leaf").agg(F.min("template").alias("lo"), F.max("template").alias("hi")).where("lo <> hi").select("leaf")
     shared = materialize(templates.join(crowded, "leaf").select("template", "leaf", "n"), "line-crowded")
-    text = _own(table, "template", "line").join(shared.select("template"), "template").select("template", "line").distinct()
+    # Hints, so that the joins against all lines are the same at every size of the other side.
+    text = _own(table, "template", "line").join(shared.select("template").hint("merge"), "template").select("template", "line").distinct()
     root = _variants(materialize(shared.join(text, "template"), "line-shared"), similar)
     groups = materialize(root.select(F.col("a").alias("template"), "root").union(root.select("root", "root")).distinct(), "line-groups")
-    counted = _own(table, "template").join(groups, "template").select("root", "doc_id", "row").distinct()
+    counted = _own(table, "template").join(groups.hint("merge"), "template").select("root", "doc_id", "row").distinct()
     counted = counted.groupBy("root").agg(F.count(F.lit(1)).alias("group_n"), F.min("doc_id").alias("group_doc"))
     found = templates.join(groups.join(counted, "root"), "template", "left").select(
         "template",
@@ -149,14 +154,14 @@ def _recurring(table: DataFrame, min_documents: int, similar: float) -> DataFram
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
     """template, keep_doc, n_documents of every template that recurs."""
-    return _recurring(materialize(parsed(docs, id_col, text_col), "lines"), min_documents, similar)
+    return _recurring(_table(docs, id_col, text_col), min_documents, similar)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
     """doc_id, text_hash, drop: the places (from 0) of the lines that each document loses."""
-    table = materialize(parsed(docs, id_col, text_col), "lines")
+    table = _table(docs, id_col, text_col)
     lines = table.select("doc_id", "text_hash", F.posexplode_outer("templates").alias("at", "template")).where("template is not null")
-    lost = lines.join(_recurring(table, min_documents, similar), "template").where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
+    lost = lines.join(_recurring(table, min_documents, similar).hint("merge"), "template").where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drop"))
 
 
