@@ -9,7 +9,8 @@ Bit ``i`` of a rule says that its first ``i`` tokens are matched; ``*`` is a sel
 bit before it, in the host part on all bytes but the separator.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no rule and
-the default verdict.  Of rules that fit, the longest wins, then the one listed first.
+the default verdict.  Rows come back one for one, repeated ones included; whole URLs are read,
+whatever their length; an empty table gives no rows.  Of rules that fit, the longest wins, then the one listed first.
 Columns of the input that carry the name of an output column are replaced.
 """
 
@@ -188,9 +189,8 @@ class UrlFilter:
         return df.withColumns({c: F.col(f"{found}.{c}") for c in names}).drop(found)
 
 
-def _regex(glob: str, host: bool) -> str:
-    any_ = "." if not host else "."
-    return "".join(f"{any_}*" if c == "*" else any_ if c == "?" else re.escape(c) for c in glob)
+def _regex(glob: str) -> str:
+    return "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob)
 
 
 def sql(rules=RULES, globs=GLOBS, default: str = "allow") -> str:
@@ -205,7 +205,7 @@ def sql(rules=RULES, globs=GLOBS, default: str = "allow") -> str:
         verdicts.append(f"WHEN {fits} THEN {quote(verdict)}")
     for verdict, glob in own.globs:
         host, sep, path = glob.partition("/")
-        fits = f"(regexp_full_match('.' || host, {quote('(?s).*[.]' + _regex(host, True))}) AND regexp_full_match(path, {quote('(?s)' + _regex(sep + path, False))}))"
+        fits = f"(regexp_full_match('.' || host, {quote('(?s).*[.]' + _regex(host))}) AND regexp_full_match(path, {quote('(?s)' + _regex(sep + path))}))"
         own_globs.append(f"WHEN {fits} THEN {quote(glob)}")
         verdicts.append(f"WHEN {fits} THEN {quote(verdict)}")
     return f"""
