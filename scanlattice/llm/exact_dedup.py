@@ -7,11 +7,13 @@
 
 The normalised text is part of every grouping key, so contents are compared in full at every
 stage; the digest only deals the rows out.  The classes then meet the documents again in an
-equi-join on the digest and the length; its hot keys can be split, since nothing is gathered.
+equi-join on the digest and the length, after which no two classes may share both: the query
+fails rather than mix two texts.  The join's hot keys can be split, since nothing is gathered.
 
 Defined results: a null text counts as empty, texts are equal when identical after
 lower-casing A-Z.  The largest doc_id of a class stays; null ids lose to any other, and
-rows that repeat the winning id all count as kept.  Empty tables give empty results.
+rows that repeat the winning id all count as kept.  Empty tables give empty results.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -55,7 +57,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
     local = digests(docs, id_col, text_col, with_text=True).withColumn("salt", F.spark_partition_id() % F.lit(salts))
     salted = local.groupBy("digest", "n_bytes", "salt", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     merged = salted.groupBy("digest", "n_bytes", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return merged.select("digest", "n_bytes", "keep_id", "group_size")
+    # Dealt out as the join below needs it, so this adds no exchange to the query.
+    alone = merged.groupBy("digest", "n_bytes").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
+    size = F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a digest and a length")))
+    return alone.select("digest", "n_bytes", "keep_id", size.cast("long").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
