@@ -7,8 +7,6 @@ written to the shared scratch folder; nothing but two checksums reaches the driv
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,29 +51,3 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return stars.select("a", F.col("b").alias("root"))
-
-
-def grouped_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
-    """(a, root), as ``components``, over all pairs of nodes that share a key and pass ``verify``.
-
-    ``members``: columns key and node.  ``verify`` takes distinct pairs (a, b) and returns
-    those that are links.  First each key's nodes are compared with its least node only, in
-    an order that differs by round, which joins most of a large group; then every pair of a
-    key whose nodes are still apart is compared, so no link is lost.
-    """
-    found: DataFrame | None = None
-    root = members.sparkSession.createDataFrame([], "a long, root long")
-    for k in range(rounds + 1):
-        own = members.join(root.withColumnRenamed("a", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"), F.struct(F.xxhash64("node", F.lit(k)).alias("at"), "node").alias("who"))
-        apart = own.groupBy("key").agg(F.min("who").alias("least"), F.min_by("label", "who").alias("least_label"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        if k < rounds:
-            pairs = own.join(apart, "key").where("label <> least_label").select("node", F.col("least.node").alias("other"))
-        else:
-            left = materialize(own.join(apart.select("key"), "key").select("key", "node", "label"), "apart")
-            right = left.select("key", F.col("node").alias("other"), F.col("label").alias("other_label"))
-            pairs = left.join(right, "key").where("node < other and label <> other_label").select("node", "other")
-        pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        passed = materialize(verify(pairs), "links")
-        found = passed if found is None else found.union(passed)
-        root = components(found)
-    return root
