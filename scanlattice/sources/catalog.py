@@ -14,8 +14,10 @@ _V0 = re.compile(r"data_scan(?P<scan_num>\d+)(?:_id(?P<scan_id>\d+))?(?:_th(?P<t
 def find_scan(directory: str, scan_num: int | None = None, scan_id: int | None = None, th: int | None = None, suffix: str = "standard", version: int | None = None) -> tuple[Path, dict]:
     """(path, numbers) of the one file that fits; the newer naming scheme is tried first.
 
-    Several fits raise ValueError, none FileNotFoundError.
+    Several fits raise ValueError, none FileNotFoundError, no number to look for TypeError.
     """
+    if scan_num is None and scan_id is None:
+        raise TypeError("pass scan_num or scan_id")
     ending, kind = SUFFIXES[suffix]
     wanted = {"scan_num": scan_num, "scan_id": scan_id, "th": th}
     for v in (1, 0) if version is None else (version,):

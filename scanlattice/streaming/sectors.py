@@ -1,7 +1,8 @@
 """Sector streams: frames put together as their four sectors arrive, in any order.
 
 State is kept per (scan_num, frame_num).  A frame leaves when its fourth sector arrives, or
-incomplete when ``timeout_ms`` passes without news; without a timeout it waits.
+incomplete when ``timeout_ms`` passes without news; without a timeout it waits.  A sector that
+is sent again after its frame has left is taken for a new frame, which a timeout ends.
 """
 
 from __future__ import annotations

@@ -372,6 +372,8 @@ def test_catalog(tmp_path):
         catalog.find_scan(str(tmp_path), scan_num=8)
     with pytest.raises(FileNotFoundError):
         catalog.find_scan(str(tmp_path), scan_num=9)
+    with pytest.raises(TypeError):
+        catalog.find_scan(str(tmp_path), th=4)
 
 
 def test_images_and_cubes(spark, tmp_path, sparse):
