@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -65,19 +68,63 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` to a Parquet table in the shared scratch folder and reads it back.
 
     This cuts the lineage without relying on executor-local blocks: a lost executor costs
     a re-read and nothing more.  The schema is handed to the reader, so that empty results
-    read back as well.
+    read back as well.  Within ``scratch`` the table is removed at the end.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    if (own := _SCOPE.get()) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables from whatever store the scratch folder is in."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished jobs.
+
+    They stay on the executors' disks until the driver's JVM collects the plans that they
+    belong to, which a small driver may not do for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """A scope whose tables are removed at its end, but for what is handed to its ``last``,
+    which writes like ``materialize`` and must not depend on the others when read."""
+    outer, own = _SCOPE.get(), []
+    token = _SCOPE.set(own)
+
+    def last(df: DataFrame, name: str) -> DataFrame:
+        inside = _SCOPE.set(outer)
+        try:
+            return materialize(df, name)
+        finally:
+            _SCOPE.reset(inside)
+
+    try:
+        yield last
+    finally:
+        _SCOPE.reset(token)
+        _remove(spark, own)
+        release(spark)
+
+
 def _bytes_of(column: pa.Array) -> np.ndarray:
     """About how many bytes each value holds: of texts, binaries and lists."""
     kind = column.type
