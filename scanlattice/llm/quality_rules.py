@@ -88,13 +88,18 @@ def _repeated(words: Column) -> Column:
 
 
 def _counted(rows: DataFrame, *kept: Column) -> DataFrame:
-    """``kept`` and the counts of every whole text ``t``.  One narrow pass."""
+    """``kept`` and the counts of every whole text ``t``.  One narrow pass.
+
+    The row number, which is not deterministic, keeps filters on verdicts above the counts;
+    pushed below, they would repeat each count wherever a rule reads it.
+    """
     rows = rows.withColumns(
         {"w": F.array_remove(F.split("t", _SPACE), ""), "l": F.filter(F.split("t", "\n"), lambda line: line.rlike(_NO_SPACE))}
     )
     without = lambda pattern: (F.length("t") - F.length(F.regexp_replace("t", pattern, ""))).cast("long")
     return rows.select(
         *kept,
+        F.monotonically_increasing_id().alias("_row"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "w")).cast("long").alias("word_chars"),
         without("[#*$%&|<>]+").alias("n_symbols"),
@@ -208,9 +213,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns and no others.
 
-    The texts are counted once: rows and counts are written, and read for the fit and for the
-    verdicts.  Nothing is shuffled.
+    The texts are counted twice, for the fit and for the verdicts; nothing is shuffled or
+    written, where counting once would write the whole corpus.
     """
     rows = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), text_of(text_col).alias("t"))
-    counted = materialize(_counted(rows, F.col("row")), "quality-rows")
-    return judge(counted, fit_counts(counted)).where("kept").select("row.*")
+    model = fit_counts(_counted(rows))
+    return judge(_counted(rows, F.col("row")), model).where("kept and _row >= 0").select("row.*")
