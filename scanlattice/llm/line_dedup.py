@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, named, text_of, unused
+from .common import materialize, named, release, scratch, text_of, unused
 from .components import components
 
 DEPTH = 3
@@ -139,7 +139,9 @@ def _recurring(table: DataFrame, min_documents: int, similar: float) -> DataFram
     shared = materialize(templates.join(crowded, "leaf").select("template", "leaf", "n"), "line-crowded")
     # Hints, so that the joins against all lines are the same at every size of the other side.
     text = _own(table, "template", "line").join(shared.select("template").hint("merge"), "template").select("template", "line").distinct()
-    root = _variants(materialize(shared.join(text, "template"), "line-shared"), similar)
+    with_text = materialize(shared.join(text, "template"), "line-shared")
+    release(table.sparkSession)  # the texts of all lines were shuffled
+    root = _variants(with_text, similar)
     groups = materialize(root.select(F.col("a").alias("template"), "root").union(root.select("root", "root")).distinct(), "line-groups")
     counted = _own(table, "template").join(groups.hint("merge"), "template").select("root", "doc_id", "row").distinct()
     counted = counted.groupBy("root").agg(F.count(F.lit(1)).alias("group_n"), F.min("doc_id").alias("group_doc"))
@@ -154,15 +156,17 @@ def _recurring(table: DataFrame, min_documents: int, similar: float) -> DataFram
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
     """template, keep_doc, n_documents of every template that recurs."""
-    return _recurring(_table(docs, id_col, text_col), min_documents, similar)
+    with scratch(docs.sparkSession) as last:
+        return last(_recurring(_table(docs, id_col, text_col), min_documents, similar), "recurring")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
     """doc_id, text_hash, drop: the places (from 0) of the lines that each document loses."""
-    table = _table(docs, id_col, text_col)
-    lines = table.select("doc_id", "text_hash", F.posexplode_outer("templates").alias("at", "template")).where("template is not null")
-    lost = lines.join(_recurring(table, min_documents, similar).hint("merge"), "template").where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
-    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drop"))
+    with scratch(docs.sparkSession) as last:
+        table = _table(docs, id_col, text_col)
+        lines = table.select("doc_id", "text_hash", F.posexplode_outer("templates").alias("at", "template")).where("template is not null")
+        lost = lines.join(_recurring(table, min_documents, similar).hint("merge"), "template").where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
+        return last(lost.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drop")), "lost-lines")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, similar: float = SIMILAR, count_col: str = "n_dropped_lines") -> DataFrame:
