@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import materialize, named, rows_of, text_of
+from .common import materialize, named, rows_of, text_of, unused
 
 MAX_LEN = 1024
 END = 2
@@ -191,6 +191,7 @@ def best_fit(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     spark = pieces.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = pieces.columns
+    part_col, place_col = unused("_part", pieces), unused("_place", pieces)
     ordered = pieces.repartitionByRange(parts, F.desc("length"), "doc_id", "piece").sortWithinPartitions(F.desc("length"), "doc_id", "piece")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
@@ -211,16 +212,16 @@ def best_fit(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
             place[: starts[0] if len(starts) else len(lengths)] += seen
             now, seen = lengths[-1], int(place[-1]) + 1
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(place)], names=[*batch.schema.names, "_part", "_place"]
+                [*batch.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(place)], names=[*batch.schema.names, part_col, place_col]
             )
 
-    sorted_ = materialize(ordered.mapInArrow(ranked, f"{fields}, _part int, _place long"), "packing")
+    sorted_ = materialize(ordered.mapInArrow(ranked, f"{fields}, {part_col} int, {place_col} long"), "packing")
     # A row per length and, where a length spans several, per partition: max_len + partitions.
-    runs = sorted_.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("length"), "_part").collect()
+    runs = sorted_.groupBy("length", part_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("length"), part_col).collect()
     counts: dict[int, int] = {}
     base: dict[tuple[int, int], int] = {}
     for r in runs:
-        base[r.length, r._part] = counts.get(r.length, 0)
+        base[r.length, r[part_col]] = counts.get(r.length, 0)
         counts[r.length] = counts.get(r.length, 0) + r.n
     rounds = plan(counts, max_len)
     table = {
@@ -229,7 +230,7 @@ def best_fit(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, part, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_part", "_place"))
+            lengths, part, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", part_col, place_col))
             rank = rank.copy()
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for length in np.unique(lengths):
