@@ -185,6 +185,27 @@ def test_pipeline_stage_finds_every_near_copy(spark):
     assert corpus_pipeline.one_of_near_copies(spark, d.where("false"), "").count() == 0
 
 
+def test_pipeline_stage_takes_fingerprints_through_the_anchors(spark, monkeypatch):
+    import corpus_pipeline
+    from scanlattice.llm import near_copies
+
+    rng = random.Random(37)
+    base = prose(rng, 400).split()
+    made = [" ".join(base), " ".join([*base[:200], "edit", *base[201:]]), " ".join([*base, "end"]), prose(rng, 300), "", "two words"]
+    prints = [plain_fingerprint(t) for t in made]
+    assert any(a != b and bin(a ^ b).count("1") <= 3 for a in prints[:3] for b in prints[:3])
+    d = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    seen, given = [], []
+    by_anchor, linked = simhash.links, near_copies._linked
+    monkeypatch.setattr(near_copies, "links", lambda fps: seen.extend(r.fp % 2**64 for r in fps.collect()) or by_anchor(fps), raising=False)
+    monkeypatch.setattr(near_copies, "_linked", lambda members, found, verify: given.extend(map(tuple, found.collect())) or linked(members, found, verify))
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, d, "").collect()) == [0, 3, 4, 5]
+    assert sorted(seen) == sorted(set(prints))
+    # What the fingerprints link has passed the check before any shared shingle is looked at.
+    nodes = {xxhash.xxh64_intdigest(near_copies.shingle_set(t).tobytes(), 42) for t in made[:3]}
+    assert given and {node % 2**64 for pair in given for node in pair} <= nodes
+
+
 def test_simhash_links_through_null_ids(spark):
     # The text without an id has the least fingerprint of a chain; the two others link to it.
     rng = random.Random(21)
